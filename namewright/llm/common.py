@@ -56,3 +56,24 @@ def ascii_lower(c: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Ids of 8 bytes: a broadcast of at most some 32 MB as a hash table.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Joins docs to a staged table of distinct ids. The ids are broadcast if they are counted to be few enough, so that
+    texts needn't move; otherwise both sides are shuffled."""
+    few = ids.count() <= MAX_BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", how).select(*docs.columns)
+
+
+def drop_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in gone; rows without an id stay."""
+    return _by_id(docs, gone, "left_anti")
+
+
+def keep_within(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids."""
+    return _by_id(docs, ids, "left_semi")

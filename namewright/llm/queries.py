@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_decontamination
 from .license_scan import OP2_SQL, op2_license_scan
+from .quality import op10_quality_classifier
+from .simhash import op7_simhash_dedup
 from .url_filter import OP9_SQL, op9_url_filter
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op6_decontamination, op7_simhash_dedup, op9_url_filter, op10_quality_classifier)}
 ORACLE_SQL = {"op2_license_scan": OP2_SQL, "op9_url_filter": OP9_SQL}
