@@ -1,0 +1,245 @@
+"""Operators against brute force on small inputs."""
+
+import hashlib
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from namewright.llm import ann, common, decontaminate, mixing, pii, quality, secrets, simhash, suffix_dedup
+
+DATA = "/root/testdata/sf0.001"
+
+
+def words3(text):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\x0b", " ").replace("\x0c", " ")
+    w = [x for x in w.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if x]
+    return [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 3 else [" ".join(w)] if w else []
+
+
+def brute_fingerprint(text):
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in words3(text)]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(fps):
+    """fps: {id: fingerprint} -> {id: smallest id reachable}"""
+    ids, root = sorted(fps), {i: i for i in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_on_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(150)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    fps = {i: brute_fingerprint(t) for i, t in rows.items()}
+    want = components(fps)
+    got = simhash.near_duplicates(docs).collect()
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {(i, f"{fps[i]:016x}", want[i]) for i in rows}
+
+
+def test_links_connect_what_is_near(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    fps = {b ^ sum(1 << k for k in rng.sample(range(64), rng.choice((0, 1, 1, 2, 3)))) for b in base for _ in range(60)}
+    fps |= {base[0] ^ (1 << a) ^ (1 << b) for a in range(0, 64, 5) for b in range(1, 64, 7)}  # large buckets
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
+    links = simhash.near_links(spark.createDataFrame([(x,) for x in signed.values()], "fp long"))
+    pairs = {(r.u & (2**64 - 1), r.v & (2**64 - 1)) for r in links.collect()}
+    assert all((a ^ b).bit_count() <= 2 for a, b in pairs)
+    want = components({f: f for f in fps})
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {f: find(f) for f in fps} == want
+
+
+def brute_repeats(docs):
+    seen = Counter(d[p : p + 200] for d in docs for p in range(len(d) - 199))
+    out = []
+    for d in docs:
+        gone = np.zeros(len(d), bool)
+        for p in range(len(d) - 199):
+            if seen[d[p : p + 200]] > 1:
+                gone[p : p + 200] = True
+        kept = np.frombuffer(d, np.uint8)[~gone].tobytes()
+        out.append((len(d), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_suffixes(spark, monkeypatch):
+    rng = random.Random(5)
+    base = "".join(rng.choices("abcdefgh ", k=2500))
+    texts = []
+    for _ in range(40):
+        t = list(base[rng.randint(0, 1800) :])
+        for _ in range(rng.randint(0, 10)):
+            t[rng.randrange(len(t))] = "Zé"
+        texts.append("".join(t))
+    texts += ["ab" * 400, "x" * 199, "x" * 200, "y" * 201, "", base]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(brute_repeats([t.encode() for t in texts])))
+    for hot in (20_000, 3):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        got = suffix_dedup.remove_repeats(docs).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def test_loser_tree():
+    rng = random.Random(1)
+    for _ in range(100):
+        runs = [sorted(bytes(rng.choices(b"ab", k=rng.randint(0, 9))) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 7))]
+        coded = [iter([(0 if not i else suffix_dedup.common_prefix(r[i - 1], s), s, None) for i, s in enumerate(r)]) for r in runs]
+        out = list(suffix_dedup.LoserTree(coded))
+        assert [s for _, s, _ in out] == sorted(x for r in runs for x in r)
+        assert all(p == suffix_dedup.common_prefix(a, b) for (_, a, _), (p, b, _) in zip(out, out[1:]))
+
+
+def test_wand_finds_what_brute_force_finds():
+    rng = random.Random(2)
+    vocab = [f"w{i}" for i in range(80)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randint(3, 30)))) for i in range(150)]
+    ix = decontaminate.Index(items)
+    docs = [decontaminate.words(t) for _, t in items]
+    df, mean = Counter(x for w in docs for x in set(w)), sum(map(len, docs)) / len(docs)
+    score = lambda w, q: sum(math.log(1 + (150 - df[x] + 0.5) / (df[x] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, f in Counter(w).items() if x in q)
+    for _ in range(30):
+        q = {x.encode() for x in rng.sample(vocab, rng.randint(1, 60))}
+        want = {i: s for i, w in enumerate(docs) if (s := score(w, q) / score(w, set(w))) >= 0.4}
+        got = {ix.ids[n]: s for n, s in ix.wand(np.array(sorted(ix.term[x] for x in q if x in ix.term)), 0.4)}
+        assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+
+
+def test_decontamination_finds_planted_items(spark):
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    text = {r.item_id: r.text for r in items.collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = {(r.doc_id, i) for r in docs.collect() for i, t in text.items() if t in r.text}
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_contaminated(docs, items).collect()}
+    assert want and want <= found and len(found - want) <= 2
+
+
+def test_nearest_recall(spark):
+    v = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    got = {}
+    for r in ann.nearest(v).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    x = v.toPandas()
+    m, ids = np.stack(x.embedding).astype(float), x.vec_id.to_numpy()
+    recall = []
+    for q, found in got.items():
+        s = m @ m[ids == q][0]
+        s[ids == q] = -9
+        top = np.lexsort((ids, -s))[:20]
+        assert all(abs(found[i] - s[ids == i][0]) < 1e-9 for i in found)
+        recall.append(len(set(ids[top]) & set(found)) / 20)
+    assert len(got) == (ids % 20 == 0).sum() and np.mean(recall) >= 0.9
+
+
+def test_schedule_is_within_a_block_of_the_weights(spark):
+    sizes = spark.createDataFrame([("a", 900, 5.0), ("b", 700, 3.0), ("c", 40, 0.7), ("d", 9, 0.01)], "source string, n long, weight double")
+    rows = mixing.schedule(sizes, 128).orderBy("slot").collect()
+    n, had = rows[0].slots, Counter()
+    assert [r.slot for r in rows] == list(range(n))
+    quota = {r.source: r.a for r in rows}
+    for t, r in enumerate(rows, 1):
+        assert had[r.source] == r.block
+        had[r.source] += 1
+        assert all(abs(had[s] - t * a / n) < 1 for s, a in quota.items())
+    assert had == quota
+
+
+def test_quality_on_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    out = quality.classify(docs, quality.trusted(labels.where("doc_id % 2 = 0"))).join(labels.where("doc_id % 2 = 1"), "doc_id")
+    n = {(r.quality, r.kept): r["count"] for r in out.groupBy("quality", "kept").count().collect()}
+    assert n.get((1, True), 0) >= 0.98 * (n.get((1, True), 0) + n.get((1, False), 0)) and n.get((0, False), 0) >= 0.9 * (n.get((0, True), 0) + n.get((0, False), 0))
+
+
+def test_model_is_a_distribution(spark):
+    m = quality.train(spark.createDataFrame([("some text. Some more text, and more.",), ("text and text",)], "text string"))
+    assert m.count() == quality.V**3
+    sums = [r.p for r in m.groupBy(F.floor(F.col("code") / quality.V)).agg(F.sum(F.exp("logp")).alias("p")).collect()]
+    assert all(abs(p - 1) < 1e-9 for p in sums)
+
+
+def test_secrets_on_held_out_findings(spark):
+    findings = secrets.labelled_findings(spark, 1260)
+    model = secrets.train(findings.where("finding % 3 <> 0"))
+    held = findings.where("finding % 3 = 0").withColumn("doc_id", F.col("finding"))
+    out = secrets.scan_secrets(held, model).where("nth = 0").join(held.select("doc_id", "label"), "doc_id").collect()
+    assert len(out) == 420 and sum(r.is_secret == (r.label == 1) for r in out) >= 0.97 * len(out)
+
+
+def test_surrogates(spark):
+    rows = [
+        (1, "Mr John Smith met Mrs Ann Smith. Mr. Smith called +1 (325) 555-8094; card 4111 1111 1111 1111, not 4111111111111112. IP 10.1.2.3, not 999.1.2.3"),
+        (2, "JOE.75@MAIL1.EXAMPLE.COM is joe.75@mail1.example.com, not joe.76@mail1.example.com; Господин Иван Петров"),
+    ]
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    a, b = got[1].text.split(), got[2].text.split()
+    assert got[1].n_entities == 6 and a[0] == "Mr" and a[1].endswith("n") and a[5].endswith("na") and a[2] == a[6].rstrip(".") == a[8]
+    assert "4111111111111112." in a and "999.1.2.3" in a and "10.1.2.3," not in a
+    assert b[0] == b[2].rstrip(",").upper() and b[2].rstrip(",") != b[4].rstrip(";") and b[2].split("@")[1].rstrip(",") == b[4].split("@")[1].rstrip(";")
+    assert all("а" <= c.lower() <= "я" for c in b[6] + b[7])
+
+
+def test_surrogates_stay_distinct(spark):
+    # Five spellings for a short local part can't but collide at first.
+    ents = spark.createDataFrame([("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + [("ip", f"240.0.0.{i}") for i in range(50)], "kind string, canon string")
+    got = pii.assign_surrogates(ents, "k").collect()
+    assert len({(r.kind, r.surrogate) for r in got}) == len(got) == 86 and not {r.surrogate for r in got} & {r.canon for r in got}
+
+
+def test_pipeline_against_its_stages(spark):
+    """run() against plain Python versions of what the stages decide."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    full = spark.read.parquet(f"{DATA}/documents.parquet")
+    judged = quality.classify(full, quality.trusted(spark.read.parquet(f"{DATA}/labels.parquet"))).collect()
+    left = {r.doc_id for r in judged if r.kept}
+    want = components({i: brute_fingerprint(docs[i].text) for i in left})
+    left = {i for i in left if want[i] == i}
+    items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    left = {i for i in left if not any(t in docs[i].text for t in items)}
+    out = corpus_pipeline.run(spark, DATA).collect()
+    assert {r.doc_id for r in out} == left and sorted(r.mix_position for r in out) == list(range(len(out)))
+    private = [r for r in out if r.text != docs[r.doc_id].text]
+    assert private and all(docs[r.doc_id].lang == r.lang and docs[r.doc_id].source == r.source for r in out)
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (9, 8), (5, 5), (3, 4), (20, 21)] + [(100, 100 + i) for i in range(1, 40)] + [(i, i + 1) for i in range(200, 240)]
+    from namewright.llm.components import components as connected
+
+    got = {r.node: r.root for r in connected(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {2: 1, 3: 1, 4: 1, 9: 8, 21: 20} | {100 + i: 100 for i in range(1, 40)} | {i + 1: 200 for i in range(200, 240)}
+    assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_scratch_follows_the_session(spark):
+    at = common.scratch_dir(spark)
+    assert common.scratch_dir(spark) == at == spark.conf.get("spark.checkpoint.dir")
+    df = common.stage_table(spark.range(3), "x")
+    assert df.count() == 3
+    common.drop_staged(df)
