@@ -84,9 +84,8 @@ def nfkd_ascii(c: Column) -> Column:
     """Compatibility decomposition, then only ASCII, lower-cased; exact for Latin letters, other scripts vanish."""
 
     def of(x: Column) -> Column:
-        rare = x
-        for k, v in _MORE.items():
-            rare = F.replace(rare, F.lit(k), F.lit(v))
+        several = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _MORE.items())), F.lit("\x01"), F.lit("\x02"))
+        rare = F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(several, ch), ch)), "")
         return F.lower(F.regexp_replace(F.when(x.rlike("[" + "".join(_MORE) + "]"), rare).otherwise(x), r"[^\x00-\x7F]", ""))
 
     return let(F.translate(c, _ONE, _TO), of)

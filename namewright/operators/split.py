@@ -20,8 +20,8 @@ def stratified_split(df: DataFrame, stratum: Column, val_ratio: float = 0.2, tes
     """(id, split): in each stratum the first round(test * n) ids in shuffled order are test, the next round(val * n) val, the
     rest train; strata of one row are train. A stratum's rows are ordered by a 16-byte key only."""
     d = df.select("id", stratum.alias("s")).withColumn("key", shuffle_key("id", seed))
-    n = d.groupBy("s").agg(F.count("*").alias("n"))
-    ranked = d.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy("key", "id"))).join(n, F.col("s").eqNullSafe(n["s"])).drop(n["s"])
+    n = d.groupBy("s").agg(F.count("*").alias("n")).withColumnRenamed("s", "of")
+    ranked = d.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy("key", "id"))).join(n, F.col("s").eqNullSafe(F.col("of")))
     t, v = F.floor(F.col("n") * test_ratio + 0.5), F.floor(F.col("n") * val_ratio + 0.5)
     return ranked.select("id", F.when(F.col("n") == 1, "train").when(F.col("rn") <= t, "test").when(F.col("rn") <= t + v, "val").otherwise("train").alias("split"))
 

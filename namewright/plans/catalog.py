@@ -679,7 +679,7 @@ def population_lift(spark, sf):
     return d.select("name", *[r6(c).alias(c) for c in ("inside", "outside", "difference", "lift")])
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS n, (sum(count(*)) OVER (PARTITION BY l_returnflag))::BIGINT AS total, round(count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag), 6) AS share FROM lineitem GROUP BY ALL")
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, (sum(count(*)) OVER (PARTITION BY l_returnflag))::BIGINT AS total, round(count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag), 6) AS share FROM lineitem GROUP BY l_returnflag, l_linestatus")
 def crosstab_share(spark, sf):
     return eda.shares(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus").withColumn("share", r6("share"))
 
