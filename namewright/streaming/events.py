@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, width: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """(start, event_type, n, total) by tumbling event-time windows; in a stream, rows later than `late` are left out."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
-    out = e.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = _timed(events, late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "5 minutes", late: str = "30 minutes") -> DataFrame:
     """(user_id, start, end, n): sessions end after a gap."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
-    out = e.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    out = _timed(events, late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
