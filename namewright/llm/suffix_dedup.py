@@ -16,7 +16,7 @@ frequent is cut into blocks of windows, each dealt by the digest of the bytes th
 passage with different surroundings spreads over many shards.
 
 Scale: anchors are one in about 70 bytes, and only their hashes are shuffled over the whole corpus; suffixes travel only for
-repeated anchors. Texts are shuffled only if the repeated anchors or the spans found are too many to broadcast.
+repeated anchors. What is found in a text meets it by a join on the row number, twice, with the texts compressed.
 """
 
 from __future__ import annotations
@@ -37,7 +37,6 @@ WIDTH, GRAM = 200, 64
 REACH = WIDTH - GRAM  # an anchor starts at most so many bytes after its window
 HOT, HOT_BLOCK = 20_000, 16
 RUN_SUFFIXES, SHARD_SUFFIXES = 60_000, 30_000
-MAX_BROADCAST = 1_500_000  # of anchors or spans: 12 bytes each
 CHUNK = 1 << 20
 
 _MASK = (1 << 64) - 1
@@ -94,19 +93,42 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _packed_rows(keys: np.ndarray, rows: np.ndarray, places: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """One record a (key, row): key, row, and its places as one string of 12 bytes each."""
+    order = np.lexsort((keys, rows))
+    keys, rows, places = keys[order], rows[order], np.ascontiguousarray(places[order], "<i4")
+    first = np.flatnonzero((np.diff(keys, prepend=~keys[:1]) != 0) | (np.diff(rows, prepend=~rows[:1]) != 0))
+    offsets = np.append(first, len(keys)).astype(np.int32) * 12
+    return pa.RecordBatch.from_arrays([pa.array(keys[first], pa.int64()), pa.array(rows[first], pa.int64()), pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(places)])], names)
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     roll = _Roller(CHUNK + WIDTH)
-    names = ["h", "row", "a", "p1", "p2"]
     for b in batches:
         out = []
         for row, text in zip(b.column(0).to_pylist(), b.column(1)):
             data = np.frombuffer(_bytes(text.as_py()), np.uint8)
             for c in range(0, len(data) - WIDTH + 1, CHUNK):
                 h, a, p1, p2 = anchors(data[c : c + CHUNK + WIDTH - 1], roll)
-                out.append((h.view(np.int64), np.full(len(a), row), a + c, p1 + c, p2 + c))
+                out.append((h.view(np.int64), np.full(len(a), row, np.int64), np.stack([a, p1, p2], axis=1) + c))
         if out:
-            h, rows, *places = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rows, pa.int64()), *(pa.array(x, pa.int32()) for x in places)], names)
+            yield _packed_rows(*(np.concatenate(x) for x in zip(*out)), ["h", "row", "places"])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in compressed form, for the shuffle."""
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(_bytes(t.as_py())) for t in b.column(1)], pa.binary())], ["row", "packed"])
+
+
+def _unpacked(column: pa.Array) -> Iterator[bytes]:
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    return (z.decompress(x.as_py()) for x in column)
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -173,8 +195,10 @@ _RUN = "shard int, row long, p1 int, p2 int, prefixes binary, lengths binary, re
 def _suffix_runs(n_shards: int):
     """Rows with a row number are windows known to be repeated; the others are runs of a shard."""
     import xxhash
+    import zstandard
 
     def flush(held: list) -> pa.RecordBatch:
+        z = zstandard.ZstdCompressor(level=3)
         held.sort(key=lambda x: x[:3])
         cols = [[] for _ in range(9)]
         i = 0
@@ -197,6 +221,7 @@ def _suffix_runs(n_shards: int):
                 places.append((row, a, p1, p2))
                 last, i = s, j
             load = (np.array(prefixes, "<u1").tobytes(), np.array([(len(r), len(x)) for r, x in zip(rests, lefts)], "<u1").tobytes(), b"".join(rests), b"".join(lefts), np.array(places, "<i8").tobytes())
+            load = tuple(map(z.compress, load))
             for c, v in zip(cols, (shard, None, None, None, *load)):
                 c.append(v)
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 5
@@ -205,18 +230,17 @@ def _suffix_runs(n_shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for b in batches:
-            for row, text, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                data = _bytes(text.as_py())
+            for row, data, found in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2)):
                 for x in found.as_py():
-                    a, p1, p2 = x["a"], x["p1"], x["p2"]
-                    if not x["hot"]:
-                        held.append((x["h"] % n_shards, data[a : p2 + WIDTH], data[p1:a], row, a, p1, p2))
-                        continue
-                    for k in range((a - p2) // HOT_BLOCK, (a - p1) // HOT_BLOCK + 1):
-                        q = a - k * HOT_BLOCK
-                        first, end = max(p1, q - HOT_BLOCK + 1), min(p2, q)
-                        shard = xxhash.xxh64_intdigest(data[q : q + WIDTH - HOT_BLOCK + 1], k) % n_shards
-                        held.append((shard, data[a : end + WIDTH], data[first:a], row, a, first, end))
+                    for a, p1, p2 in np.frombuffer(x["places"], "<i4").reshape(-1, 3).tolist():
+                        if not x["hot"]:
+                            held.append((x["h"] % n_shards, data[a : p2 + WIDTH], data[p1:a], row, a, p1, p2))
+                            continue
+                        for k in range((a - p2) // HOT_BLOCK, (a - p1) // HOT_BLOCK + 1):
+                            q = a - k * HOT_BLOCK
+                            first, end = max(p1, q - HOT_BLOCK + 1), min(p2, q)
+                            shard = xxhash.xxh64_intdigest(data[q : q + WIDTH - HOT_BLOCK + 1], k) % n_shards
+                            held.append((shard, data[a : end + WIDTH], data[first:a], row, a, first, end))
                 if len(held) >= RUN_SUFFIXES:
                     yield flush(held)
                     held = []
@@ -236,7 +260,10 @@ def _decoded(prefixes: bytes, lengths: bytes, rests: bytes, lefts: bytes, places
 
 def _merge(shard: pa.Table) -> pa.Table:
     """(row, p1, p2): ranges of repeated windows among the shard's suffixes."""
-    runs = [_decoded(*(c.as_py() for c in r)) for r in zip(*(shard[n].combine_chunks() for n in ("prefixes", "lengths", "rests", "lefts", "places")))]
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    runs = [_decoded(*(z.decompress(c.as_py()) for c in r)) for r in zip(*(shard[n].combine_chunks() for n in ("prefixes", "lengths", "rests", "lefts", "places")))]
     kept, before = [], None
     for prefix, s, load in LoserTree(runs):
         if before is not None:
@@ -293,8 +320,7 @@ def _removed(with_kept: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for row, text, windows in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                data = _bytes(text.as_py())
+            for row, data, windows in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2)):
                 gone = repeated_bytes(len(data), windows.as_py() or [])
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if gone.any() else data
                 spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
@@ -312,11 +338,6 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return d.withColumn("row", F.col("doc_id")) if once else stage_table(d.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
-def _meet(docs: DataFrame, found: DataFrame, n: int, how: str) -> DataFrame:
-    """Joins texts to what was found in them, n items in all."""
-    return docs.join(F.broadcast(found) if n <= MAX_BROADCAST else found.hint("merge"), "row", how)
-
-
 def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with with_kept
     the remaining bytes as `kept`.
@@ -327,19 +348,21 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """
     docs = _numbered(docs)
     texts = docs.select("row", "text")
-    places = texts.where(F.octet_length("text") >= WIDTH).mapInArrow(_anchor_rows, "h long, row long, a int, p1 int, p2 int")
-    counted = places.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
+    packed = texts.mapInArrow(_pack, "row long, packed binary")
+    # One record for an anchor in a document, with all its places.
+    places = texts.where(F.octet_length("text") >= WIDTH).mapInArrow(_anchor_rows, "h long, row long, places binary")
+    n = F.octet_length("places") / 12
+    counted = places.withColumn("n", F.sum(n).over(Window.partitionBy("h"))).where("n > 1")
     # One document's anchors.
-    mine = counted.groupBy("row").agg(F.collect_list(F.struct("h", "a", "p1", "p2", (F.col("n") > HOT).alias("hot"))).alias("found"))
+    mine = counted.groupBy("row").agg(F.collect_list(F.struct("h", "places", (F.col("n") > HOT).alias("hot"))).alias("found"), F.sum(n).alias("n"))
     mine = stage_table(mine, "anchors")
-    n = mine.agg(F.sum(F.size("found"))).first()[0] or 0
-    n_shards = max(4, math.ceil(n / SHARD_SUFFIXES))
-    runs = stage_table(_meet(texts, mine, n, "inner").select("row", "text", "found").mapInArrow(_suffix_runs(n_shards), _RUN), "runs")
+    n_shards = max(4, math.ceil((mine.agg(F.sum("n")).first()[0] or 0) / SHARD_SUFFIXES))
+    runs = packed.join(mine.hint("merge"), "row").select("row", "packed", "found").mapInArrow(_suffix_runs(n_shards), _RUN)
+    runs = stage_table(runs, "runs")
     merged = runs.where("row is null").groupBy("shard").applyInArrow(_merge, "row long, p1 int, p2 int")
-    windows = stage_table(merged.unionByName(runs.where("row is not null").select("row", "p1", "p2")), "windows")
-    n = windows.count()
-    spans = windows.groupBy("row").agg(F.collect_list(F.struct("p1", "p2")).alias("windows"))
-    done = _meet(docs.select("row", "text"), spans, n, "left").select("row", "text", "windows").mapInArrow(_removed(with_kept), _OUT)
+    windows = merged.unionByName(runs.where("row is not null").select("row", "p1", "p2"))
+    spans = stage_table(windows.groupBy("row").agg(F.collect_list(F.struct("p1", "p2")).alias("windows")), "windows")
+    done = packed.join(spans.hint("merge"), "row", "left").select("row", "packed", "windows").mapInArrow(_removed(with_kept), _OUT)
     cols = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
     if "doc_id" in docs.columns and not hasattr(docs, "_staged_path"):
         return done.select(F.col("row").alias("doc_id"), *cols)
