@@ -10,7 +10,7 @@ from ..functions.text import domain_of, local_of
 
 
 def encode_contacts(df: DataFrame) -> DataFrame:
-    """df with local_part, domain and token_seq. The tokenizer runs once for each distinct (name, local part)."""
+    """df with local_part, domain and token_seq (replaced if there), without a shuffle."""
     d = df.withColumns({"local_part": F.lower(local_of(F.col("email"))), "domain": domain_of(F.col("email"), "part")})
     return d.withColumn("token_seq", tokens.tokenize_local(F.col("local_part"), names.decompose_train(F.col("investor"))))
 
