@@ -1,15 +1,21 @@
 r"""Quality classifier: interpolated modified Kneser-Ney n-grams trained on trusted text, thresholds by language.
 
-Units are byte classes: each lower-case letter, digit, common mark and UTF-8 byte range has one of 64 symbols, capitals share
-one, and the space between a word and its own repetition has a symbol too. A document's perplexity under the trigram model
-tells shouting, menus, symbol noise and stuttering from prose; what is too high is a quantile of the trusted documents'
-perplexities in the same language.
-
-Training counts every n-gram of every trusted document: map tasks add up their own trigrams, which are then summed by
-trigram. Continuation counts, discounts (from the counts of counts) and back-off weights are grouped joins of those shards.
-The model is a table with one row for each of the 64^3 symbol trigrams, seen or not, so that its size is fixed: 262,144
-rows, whatever the corpus. That table is broadcast; the documents' own trigrams, exploded within the task that read the
-document, join it, and only one partial sum a document is shuffled. Texts are never shuffled.
+Units are symbols, one to a UTF-8 byte: small letters, common marks and all bytes of other scripts stand for themselves,
+while capitals share a symbol, digits another, and so do rare marks; the space between a word and its own repetition has one
+too. A document's perplexity under the five-gram model tells shouting, menus, symbol noise and stuttering from prose. What is
+too high is a quantile of the perplexities of trusted documents in the same language that were held out of the training.
+
+The n-grams are a table that grows with the corpus: every document's are gathered, in chunks of bounded text, counted for
+the trusted ones and joined, by n-gram, to the probabilities. Nothing of that is broadcast, and no size is fixed.
+
+1. Each task reads its documents in chunks and sends each chunk's distinct n-grams once. Summed by n-gram with those of the
+   training texts they are the sharded counts: n is 0 for an n-gram that is only asked for.
+2. Continuation counts of each shorter order are grouped from the order above, and probabilities are made from the shortest
+   order up, each by one equi-join on the n-gram without its first symbol. Contexts have at most 256 followers.
+3. The chunks' n-grams join their probabilities, which meet the chunk's symbols, compressed, and are summed by document.
+
+Scale: all joins are on n-grams or chunks, which are many and bounded, so a hot source or copied text makes no skew. A very
+long text is a chunk of its own and its symbols are read in blocks.
 """
 
 from __future__ import annotations
@@ -25,63 +31,171 @@ from pyspark.sql import functions as F
 
 from .common import drop_without, keep_within, stage_table, table
 
-V = 64
-BEGIN, END, CAPITAL, DIGIT, STUTTER, CONTROL = 0, 1, 2, 3, 4, 5
+ORDER, BITS = 5, 8
+BEGIN, END, STUTTER, CAPITAL, DIGIT, RARE = range(6)
 _MARKS = b" \n.,;:!?'\"-()|%#&*$@/_=+<>[]"
+#: Symbols of texts in one block of arrays, and in one chunk, whose n-grams travel once.
+BLOCK, CHUNK = 1 << 20, 1 << 23
+_LEVEL = 9
 
 
-def _symbols() -> np.ndarray:
-    of = np.full(256, CONTROL, np.int64)
-    of[1] = STUTTER
-    of[48:58], of[65:91], of[97:123] = DIGIT, CAPITAL, np.arange(6, 32)
-    of[list(_MARKS)] = np.arange(32, 32 + len(_MARKS))
-    of[128:192] = 60
-    of[192:224], of[224:256] = 61, 62
-    return of
+def _symbols() -> bytes:
+    of = np.full(256, RARE, np.uint8)
+    of[STUTTER] = STUTTER
+    of[48:58], of[65:91], of[97:123], of[128:] = DIGIT, CAPITAL, np.arange(97, 123), np.arange(128, 256)
+    of[list(_MARKS)] = list(_MARKS)
+    return of.tobytes()
 
 
 SYMBOL = _symbols()
 
 
-def trigrams(text: str | None) -> np.ndarray:
-    """The codes (a * V + b) * V + c of all trigrams, with two marks before and one after; none for an empty text."""
-    data = (text or "").encode("utf-8", "surrogatepass").replace(b"\x01", b"\x02")
+def symbols(text: str | None) -> bytes:
+    """A text's symbols between the marks of its begin and its end; none for an empty text."""
+    data = (text or "").encode("utf-8", "surrogatepass").replace(b"\x02", b"\x01")
     if not data:
-        return np.zeros(0, np.int64)
+        return b""
     words = data.split(b" ")
     if any(map(operator.eq, words, words[1:])):
-        gaps = [b"\x01" if a == b and a else b" " for a, b in zip(words, words[1:])] + [b""]
+        gaps = [b"\x02" if a == b and a else b" " for a, b in zip(words, words[1:])] + [b""]
         data = b"".join(x for pair in zip(words, gaps) for x in pair)
-    s = np.empty(len(data) + 3, np.int64)
-    s[:2], s[2:-1], s[-1] = BEGIN, SYMBOL[np.frombuffer(data, np.uint8)], END
-    return (s[:-2] * V + s[1:-1]) * V + s[2:]
+    return bytes([BEGIN] * (ORDER - 1)) + data.translate(SYMBOL) + bytes([END])
+
+
+def grams(data: bytes) -> np.ndarray:
+    """The codes of all n-grams of a text's symbols, the first symbol highest."""
+    s = np.frombuffer(data, np.uint8)
+    n = max(0, len(s) - ORDER + 1)
+    code = np.zeros(n, np.int64)
+    for i in range(ORDER):
+        code <<= BITS
+        code |= s[i : i + n]
+    return code
+
+
+def _across(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts with so many symbols, written one after the other: which n-grams lie within a text, and the number of the
+    text they are of."""
+    held = np.maximum(0, sizes - (ORDER - 1))
+    starts = np.cumsum(sizes) - sizes
+    n = held.sum()
+    return np.repeat(starts - (np.cumsum(held) - held), held) + np.arange(n), np.repeat(np.arange(len(sizes)), held)
+
+
+def _blocks(texts: Iterator[str | None]) -> Iterator[tuple[list[int], bytes]]:
+    """(sizes, symbols) of texts in a row, about BLOCK symbols together unless one text has more."""
+    sizes, held, n = [], [], 0
+    for t in texts:
+        s = symbols(t)
+        if sizes and (n + len(s) > BLOCK or len(sizes) == 1 << 16):
+            yield sizes, b"".join(held)
+            sizes, held, n = [], [], 0
+        sizes.append(len(s))
+        held.append(s)
+        n += len(s)
+    if sizes:
+        yield sizes, b"".join(held)
+
+
+def _within(sizes: list[int], data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, number of the text) of a block's n-grams, at most about BLOCK at once."""
+    if len(sizes) == 1:
+        for at in range(0, len(data), BLOCK):
+            code = grams(data[at : at + BLOCK + ORDER - 1])
+            yield code, np.zeros(len(code), np.int64)
+    else:
+        at, of = _across(np.array(sizes, np.int64))
+        yield grams(data)[at], of
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(V**3, np.int64)
-    for b in batches:
-        for t in b.column(0):
-            code, n = np.unique(trigrams(t.as_py()), return_counts=True)
-            total[code] += n
-    code = np.flatnonzero(total)
-    if len(code):
-        yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(total[code], pa.int64())], ["code", "n"])
-
-
-_PROFILE = "row long, doc_id long, lang string, codes array<int>, ns array<int>"
-
-
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    row = TaskContext.get().partitionId() << 36
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            found = [np.unique(trigrams(t.as_py()), return_counts=True) for t in part.column(2)]
-            ends = np.cumsum([0] + [len(c) for c, _ in found]).astype(np.int32)
-            listed = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[k] for f in found]).astype(np.int32))) for k in (0, 1)]
-            rows = pa.array(np.arange(row, row + part.num_rows), pa.int64())
-            row += part.num_rows
-            yield pa.RecordBatch.from_arrays([rows, part.column(0), part.column(1), *listed], ["row", "doc_id", "lang", "codes", "ns"])
+    """text -> code, n: a task's own sums, sent on whenever they are many."""
+    total = pa.table({"code": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    for sizes, data in _blocks(t.as_py() for b in batches for t in b.column(0)):
+        for code, _ in _within(sizes, data):
+            u, n = np.unique(code, return_counts=True)
+            total = pa.concat_tables([total, pa.table({"code": u, "n": n.astype(np.int64)})])
+        if len(total) > 4 * BLOCK:
+            total = total.group_by("code").aggregate([("n", "sum")]).rename_columns(["code", "n"])
+            if len(total) > 2 * BLOCK:
+                yield from total.to_batches()
+                total = total.slice(0, 0)
+    yield from total.group_by("code").aggregate([("n", "sum")]).rename_columns(["code", "n"]).to_batches()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, list[int], bytes]]:
+    """(chunk, ids, languages, sizes, symbols) by block, of batches of (doc_id, lang, text); the same at each reading of the
+    same rows."""
+    chunk, n = TaskContext.get().partitionId() << 32, 0
+    known: list[tuple] = []
+
+    def texts() -> Iterator[str | None]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for i, lang, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                    known.append((i, lang))
+                    yield t.as_py()
+
+    for sizes, data in _blocks(texts()):
+        if n and n + len(data) > CHUNK:
+            chunk, n = chunk + 1, 0
+        n += len(data)
+        ids, langs = zip(*known[: len(sizes)])
+        del known[: len(sizes)]
+        yield chunk, list(ids), list(langs), sizes, data
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk's distinct n-grams."""
+    now, seen = None, np.zeros(0, np.int64)
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(seen), 1 << 16):
+            part = seen[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), now)), pa.array(part)], ["chunk", "code"])
+
+    for chunk, _, _, sizes, data in _chunks(batches):
+        if chunk != now:
+            yield from sent()
+            now, seen = chunk, np.zeros(0, np.int64)
+        for code, _ in _within(sizes, data):
+            seen = np.union1d(seen, np.unique(code))
+    yield from sent()
+
+
+_PACKED = "chunk long, ids array<long>, langs array<string>, sizes array<int>, z binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd", compression_level=_LEVEL)
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()]
+    for chunk, ids, langs, sizes, data in _chunks(batches):
+        row = (chunk, ids, langs, sizes, codec.compress(data, asbytes=True))
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [x.split()[0] for x in _PACKED.split(", ")])
+
+
+_SCORES = "doc_id long, lang string, n_symbols long, log_ppl double"
+
+
+def _summed(key: tuple, packed: pa.Table, given: pa.Table) -> pa.Table:
+    """A chunk's documents with their scores."""
+    order = np.argsort(code := given["code"].to_numpy())
+    code, logp = code[order], given["logp"].to_numpy()[order]
+    codec, parts = pa.Codec("zstd"), []
+    for row in range(len(packed)):
+        ids, langs, sizes, z = (packed[c][row].as_py() for c in ("ids", "langs", "sizes", "z"))
+        n, total = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        data = codec.decompress(z, sum(sizes), asbytes=True) if sum(sizes) else b""
+        for own, of in _within(sizes, data):
+            at = np.minimum(np.searchsorted(code, own), max(0, len(code) - 1))
+            if len(own) and (not len(code) or (code[at] != own).any()):
+                raise RuntimeError("the documents were read in another order the second time; give classify() a stored table")
+            n += np.bincount(of, minlength=len(ids))
+            total += np.bincount(of, logp[at] if len(own) else None, len(ids))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            parts.append(pa.table([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(n), pa.array(-total / n, mask=n == 0)], ["doc_id", "lang", "n_symbols", "log_ppl"]))
+    return pa.concat_tables(parts) if parts else pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.float64())], ["doc_id", "lang", "n_symbols", "log_ppl"])
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -92,52 +206,42 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return k.select(*[x.alias(f"d{i}") for i, x in enumerate(d, 1)])
 
 
-def _discounted(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(counts with p, the discounted share in the context), (context with g, the weight left to the shorter context)."""
-    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    # _discounts has one row.
-    with_d = counts.join(F.broadcast(_discounts(counts)), F.lit(True)).withColumn("d", F.least(d, F.col("n")))
-    total = with_d.groupBy(*context).agg(F.sum("n").alias("total"), F.sum("d").alias("held"))
-    p = with_d.join(total, context) if context else with_d.join(F.broadcast(total), F.lit(True))
-    return p.withColumn("p", (F.col("n") - F.col("d")) / F.col("total")), total.select(*context, (F.col("held") / F.col("total")).alias("g"))
-
-
-def train(texts: DataFrame) -> DataFrame:
-    """texts (text) -> the model: (code, logp) for each of the V^3 trigrams. Null and empty texts add nothing; without any
-    text every trigram has the uniform probability."""
-    spark = texts.sparkSession
-    c3 = texts.select(F.col("text").cast("string")).mapInArrow(_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    a, b, c = F.floor(F.col("code") / (V * V)), F.floor(F.col("code") / V) % V, F.col("code") % V
-    c3 = stage_table(c3.select(a.alias("a"), b.alias("b"), c.alias("c"), "n"), "trigrams")
-    c2 = c3.groupBy("b", "c").agg(F.count("*").alias("n"))
-    c1 = c2.groupBy("c").agg(F.count("*").alias("n"))
-    p1, g1 = _discounted(c1, [])
-    p2, g2 = _discounted(c2, ["b"])
-    p3, g3 = _discounted(c3, ["a", "b"])
-    every = spark.range(V**3, numPartitions=4).select(F.col("id").alias("code")).select("code", a.alias("a"), b.alias("b"), c.alias("c"))
-    m = (
-        every.join(p3.select("a", "b", "c", F.col("p").alias("p3")), ["a", "b", "c"], "left")
-        .join(g3.withColumnRenamed("g", "g3"), ["a", "b"], "left")
-        .join(p2.select("b", "c", F.col("p").alias("p2")), ["b", "c"], "left")
-        .join(g2.withColumnRenamed("g", "g2"), "b", "left")
-        .join(p1.select("c", F.col("p").alias("p1")), "c", "left")
-        .join(F.broadcast(g1.withColumnRenamed("g", "g1")), F.lit(True), "left")
-    )
-    z = lambda x, y: F.coalesce(F.col(x), F.lit(y))
-    low = z("p1", 0.0) + z("g1", 1.0) / V
-    mid = z("p2", 0.0) + z("g2", 1.0) * low
-    return m.select("code", F.log(z("p3", 0.0) + z("g3", 1.0) * mid).alias("logp"))
-
-
-def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols, log_ppl for each row of docs (doc_id, text, lang); log_ppl is null for an empty text."""
-    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text")]
-    profiles = docs.select(*cols).mapInArrow(_profiles, _PROFILE)
-    grams = profiles.select("row", "doc_id", "lang", F.explode_outer(F.arrays_zip("codes", "ns")).alias("g"))
-    grams = grams.select("row", "doc_id", "lang", F.col("g.codes").cast("long").alias("code"), F.col("g.ns").cast("long").alias("n"))
-    # V^3 rows, always.
-    scored = grams.join(F.broadcast(model), "code", "left").groupBy("row", "doc_id", "lang")
-    return scored.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_symbols"), (-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("log_ppl")).drop("row")
+def probabilities(counts: DataFrame) -> DataFrame:
+    """counts (code, n): each n-gram once, n = 0 for those only asked for -> (code, p), interpolated over all orders down to
+    the single symbol and, below that, the uniform share of 1 / 256. Without any count every p is that."""
+    by_order = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):
+        suffix = F.col("code").bitwiseAND(F.lit((1 << BITS * k) - 1))
+        by_order[k] = stage_table(by_order[k + 1].groupBy(suffix.alias("code")).agg(F.count(F.when(F.col("n") > 0, 1)).alias("n")), f"order-{k}")
+    p = None
+    for k in range(1, ORDER + 1):
+        d = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        # _discounts has one row.
+        c = by_order[k].join(F.broadcast(_discounts(by_order[k])), F.lit(True)).select("code", "n", d.alias("d"))
+        context = c.withColumn("context", F.shiftright("code", BITS))
+        # At most 256 followers to a context.
+        w = Window.partitionBy("context")
+        c = context.select("code", "n", "d", F.sum("n").over(w).alias("total"), F.sum("d").over(w).alias("held"))
+        if p is None:
+            c = c.withColumn("lower", F.lit(1.0 / (1 << BITS)))
+        else:
+            c = c.withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))).join(p.select(F.col("code").alias("suffix"), F.col("p").alias("lower")), "suffix")
+        own = F.when(F.col("total") > 0, (F.col("n") - F.col("d") + F.col("held") * F.col("lower")) / F.col("total")).otherwise(F.col("lower"))
+        p = c.select("code", own.alias("p"))
+    return p
+
+
+def perplexities(docs: DataFrame, training: DataFrame) -> DataFrame:
+    """doc_id, lang, n_symbols, log_ppl for each row of docs (doc_id, text, lang), under the model of training (text);
+    log_ppl is null for an empty text. docs is read thrice and must give the same rows in the same order, as a stored table
+    does; if it doesn't, the job fails rather than return other scores."""
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
+    asked = read.mapInArrow(_asked, "chunk long, code long")
+    counted = training.select(F.col("text").cast("string").alias("text")).mapInArrow(_counts, "code long, n long")
+    counts = stage_table(counted.unionByName(asked.select("code", F.lit(0).cast("long").alias("n"))).groupBy("code").agg(F.sum("n").alias("n")), "counts")
+    model = stage_table(probabilities(counts).select("code", F.log("p").cast("float").alias("logp")), "model")
+    given = asked.join(model, "code").select("chunk", "code", "logp")
+    return read.mapInArrow(_packed, _PACKED).groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(_summed, _SCORES)
 
 
 def thresholds(scores: DataFrame, quantile: float, steps: int = 2000, least: int = 200) -> DataFrame:
@@ -151,22 +255,26 @@ def thresholds(scores: DataFrame, quantile: float, steps: int = 2000, least: int
     return at.groupBy("lang").agg((F.min("step") / steps).alias("log_limit"))
 
 
+#: One trusted document in so many is held out of the training and sets the limits.
+HELD_OUT = 5
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, margin: float = 0.06, nats: float = 16.0) -> DataFrame:
     """One row for each row of docs (doc_id, text, lang): doc_id, lang, n_symbols, perplexity, limit, kept.
 
-    trusted_ids (doc_id) names the documents that train the model and set the limits: a document is kept if its log
-    perplexity is at most its language's quantile plus margin plus nats / n_symbols: a few odd symbols, worth `nats` of
-    surprise in all, don't condemn a short text. Languages with fewer than 200 trusted documents, null and
-    unknown ones use the quantile over all languages. Null and empty texts have no perplexity and aren't kept. Without any
-    trusted document there is no limit, and whatever has a perplexity is kept. Repeated rows are judged row by row; other
-    columns are ignored.
+    trusted_ids (doc_id) names the documents that train the model or, one in HELD_OUT by the hash of its id, set the limits:
+    a document is kept if its log perplexity is at most its language's quantile plus margin plus nats / n_symbols: a few odd
+    symbols, worth `nats` of surprise in all, don't condemn a short text. Languages with fewer than 200 held-out documents,
+    null and unknown ones use the quantile over all languages. Null and empty texts have no perplexity and aren't kept.
+    Without any held-out document there is no limit, and whatever has a perplexity is kept. Repeated rows are judged row by
+    row; other columns are ignored. docs must be a stored table, or read alike each time.
     """
     ids = stage_table(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "trusted")
-    model = stage_table(train(keep_within(docs.select("doc_id", "text"), ids)), "model")
-    scores = stage_table(perplexities(docs, model), "perplexities")
-    limits = stage_table(thresholds(keep_within(scores, ids), quantile), "limits")
+    aside = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
+    scores = stage_table(perplexities(docs, keep_within(docs.select("doc_id", "text"), ids.where(~aside))), "perplexities")
+    limits = stage_table(thresholds(keep_within(scores, ids.where(aside)), quantile), "limits")
     overall = limits.where("lang is null").select(F.col("log_limit").alias("overall"))
-    # As many rows as languages with 200 trusted documents; one row.
+    # As many rows as languages with 200 held-out documents; one row.
     out = scores.join(limits.where("lang is not null"), "lang", "left").join(F.broadcast(overall), F.lit(True), "left")
     limit = F.coalesce("log_limit", "overall", F.lit(float("inf"))) + margin + F.try_divide(F.lit(nats), F.col("n_symbols"))
     return out.select("doc_id", "lang", "n_symbols", F.exp("log_ppl").alias("perplexity"), F.exp(limit).alias("limit"), F.coalesce(F.col("log_ppl") <= limit, F.lit(False)).alias("kept"))

@@ -177,11 +177,60 @@ def test_quality_on_held_out_labels(spark):
     assert n.get((1, True), 0) >= 0.98 * (n.get((1, True), 0) + n.get((1, False), 0)) and n.get((0, False), 0) >= 0.9 * (n.get((0, True), 0) + n.get((0, False), 0))
 
 
-def test_model_is_a_distribution(spark):
-    m = quality.train(spark.createDataFrame([("some text. Some more text, and more.",), ("text and text",)], "text string"))
-    assert m.count() == quality.V**3
-    sums = [r.p for r in m.groupBy(F.floor(F.col("code") / quality.V)).agg(F.sum(F.exp("logp")).alias("p")).collect()]
-    assert all(abs(p - 1) < 1e-9 for p in sums)
+def brute_perplexity(text, training):
+    """Interpolated modified Kneser-Ney by its definition, over dictionaries."""
+    n_grams = lambda t, k: [s[i : i + k] for s in [quality.symbols(t)] for i in range(len(s) - k + 1)]
+    counts = {quality.ORDER: Counter(g for t in training for g in n_grams(t, quality.ORDER))}
+    for k in range(quality.ORDER - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def discounts(c):
+        n = [0] + [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else None
+        d = [i - (i + 1) * y * n[i + 1] / n[i] if y is not None and n[i] else 0.5 for i in (1, 2, 3)]
+        return [0.0] + [max(0.05, min(i - 0.05, x)) for i, x in enumerate(d, 1)]
+
+    d = {k: discounts(c) for k, c in counts.items()}
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        c, lower = counts[len(g)], p(g[1:])
+        after = [v for h, v in c.items() if h[:-1] == g[:-1]]
+        if not after:
+            return lower
+        cut = d[len(g)]
+        return (c[g] - cut[min(3, c[g])] + sum(cut[min(3, v)] for v in after) * lower) / sum(after)
+
+    logs = [math.log(p(g)) for g in n_grams(text, quality.ORDER)]
+    return -sum(logs) / len(logs) if logs else None
+
+
+def test_perplexity_against_brute_force(spark):
+    training = ["some text. Some more text, and more.", "text and text and texts", "", "Ünï 12 words"]
+    asked = [*training, None, "more text", "zebra zebra ##!", "SOME TEXT", "текст", "x" * 50]
+    rows = spark.createDataFrame([(i, t, None if i % 3 else "en", "clash") for i, t in enumerate(asked)], "doc_id long, text string, lang string, code string")
+    trained = spark.createDataFrame([(t,) for t in training], "text string")
+    got = {r.doc_id: r for r in quality.perplexities(rows, trained).collect()}
+    want = {i: brute_perplexity(t, training) for i, t in enumerate(asked)}
+    assert all(got[i].log_ppl is None if w is None else abs(got[i].log_ppl - w) < 1e-5 for i, w in want.items()) and len(got) == len(asked)
+    assert got[1].n_symbols == len(training[1]) + 1 and got[0].lang == "en" and got[1].lang == ""
+    assert all(abs(r.log_ppl - math.log(256)) < 1e-5 for r in quality.perplexities(rows, trained.limit(0)).collect() if r.n_symbols)
+
+
+def test_blocks_and_chunks_lose_nothing():
+    texts = ["", "a b", "c" * 30, None, "d" * 9, "", "e f g"]
+    old = quality.BLOCK
+    try:
+        for quality.BLOCK in (8, 16, 40, old):
+            found = Counter()
+            for sizes, data in quality._blocks(iter(texts)):
+                assert sum(sizes) == len(data)
+                for code, of in quality._within(sizes, data):
+                    found.update(code.tolist())
+            assert found == Counter(c for t in texts for c in quality.grams(quality.symbols(t)).tolist())
+    finally:
+        quality.BLOCK = old
 
 
 def test_secrets_on_held_out_findings(spark):
