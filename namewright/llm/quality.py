@@ -6,7 +6,7 @@ too. A document's perplexity under the five-gram model tells shouting, menus, sy
 too high is a quantile of the perplexities of trusted documents in the same language that were held out of the training.
 
 The n-grams are a table that grows with the corpus: every document's are gathered, in chunks of bounded text, counted for
-the trusted ones and joined, by n-gram, to the probabilities. Nothing of that is broadcast, and no size is fixed.
+the trusted ones and joined, by n-gram, to the probabilities. No size is fixed, and no n-grams are broadcast unless Spark finds them under its threshold.
 
 1. Each task reads its documents in chunks and sends each chunk's distinct n-grams once. Summed by n-gram with those of the
    training texts they are the sharded counts: n is 0 for an n-gram that is only asked for.
