@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality classifier, SimHash near-dedup, benchmark decontamination, PII, mixing.
+"""The corpus pipeline: quality classifier, near-dedup, benchmark decontamination, PII, mixing.
 
 Each stage is written as Parquet to the shared folder and reread as the next one's input. All but the last return the
 columns of documents; the last adds mix_slot and mix_position.
@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from namewright.llm.common import drop_staged, stage_table, table
 from namewright.llm.decontaminate import drop_contaminated
 from namewright.llm.mixing import mix
+from namewright.llm.near_copies import keep_one_of_each
 from namewright.llm.pii import replace_pii
 from namewright.llm.quality import keep_good, trusted
-from namewright.llm.simhash import keep_one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", quality),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("PII", pii),
     ("mixing sources", mixing),
@@ -57,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SQL can't express the classifier, the fingerprints or the surrogates; tests/llm holds run() against a brute-force version.
+#: SQL can't express the classifier, the MinHash bands or the surrogates; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, drop_without, stage_table, table
+from .common import LOWER, UPPER, stage_table, table
 from .components import components
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -117,17 +117,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those that near_duplicates puts into the component of another, smaller id. All columns stay.
-    Of rows that share the kept id one stays; rows without an id can't be told apart by it and stay."""
-    found = near_duplicates(docs)
-    gone = stage_table(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    out = drop_without(docs, gone)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out
-
-
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
