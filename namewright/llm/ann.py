@@ -4,14 +4,16 @@ Vectors gain one component that brings all to the same norm, so that the largest
 Balanced hierarchical clustering of a bounded sample gives centroids whose lists are of similar size. A navigable graph
 over the centroids, small enough for a task's memory, is searched by best-first steps for many vectors at once. Each vector
 goes to its nearest list, and a boundary vector, whose other centroids are nearly as near, to several. A query searches
-the lists whose centroid's distance is within a ratio of its nearest one's, and a few at least.
+the lists whose centroid's distance is within a ratio of its nearest one's, a few at least and at most a share of all lists
+that doesn't fall as they multiply.
 
 Equal vectors are one point with its 21 smallest ids, which is all that any answer of 20 can use, so copies don't make a
 list long; a query vector is searched once for all its copies.
 
 Scale: the sample is at most SAMPLE vectors and the centroids at most SAMPLE / 8, which bounds what the driver holds and what
-is broadcast. Lists are cut into chunks of LIST_CHUNK points and their queries into blocks, dealt evenly, so that a list of
-any length is many small tasks' work; each returns its best 21 points a query.
+is broadcast. Neighbouring lists form bundles, and a query goes to a bundle once, with the lists it searches there. Bundles are
+cut into chunks of points and their queries into blocks, dealt evenly, so that a list of any length is many small tasks'
+work; each returns its best 21 points a query.
 """
 
 from __future__ import annotations
@@ -26,8 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import stage_table, table
 
-SAMPLE, LIST_POINTS, LIST_CHUNK, QUERY_BLOCK = 65_536, 64, 2048, 1024
+SAMPLE, LIST_POINTS, BUNDLES, CHUNK, QUERY_BLOCK = 65_536, 64, 64, 16_384, 16_384
 COPIES, BOUNDARY, PROBES, LEAST_PROBES, RATIO = 6, 1.2, 160, 8, 1.5
+#: Of the lists, beyond 160 / PROBE_SHARE of them.
+PROBE_SHARE = 0.125
+
+
+def n_probes(n_lists: int) -> int:
+    return max(PROBES, math.ceil(n_lists * PROBE_SHARE))
 
 
 def _cluster(x: np.ndarray, target: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -94,6 +102,16 @@ class CentroidGraph:
             ids, d, done = np.hstack([ids, new]), np.hstack([d, np.where(fresh, dist(new), np.inf)]), np.hstack([done, np.zeros(new.shape, bool)])
 
 
+    def scan(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """As search(), by comparing with all centroids: exact, and for a wide beam cheaper than the graph."""
+        d = (self.sq - 2 * q @ self.c.T + (q**2).sum(1)[:, None]).clip(0)
+        b = min(beam, len(self.c))
+        ids = np.argpartition(d, b - 1, axis=1)[:, :b]
+        rows = np.arange(len(q))[:, None]
+        ids = ids[rows, np.argsort(d[rows, ids], axis=1, kind="stable")]
+        return ids, np.sqrt(d[rows, ids])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
@@ -131,7 +149,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     sample = points.where(F.pmod("point", F.lit(share)) == 0).select("point", "vec").toArrow().combine_chunks().sort_by("point")
     lift = lambda x: np.hstack([x, np.sqrt((norm**2 - (x**2).sum(1)).clip(0))[:, None]])
     x = lift(_matrix(sample["vec"].combine_chunks())) if len(sample) else np.zeros((1, len(points.first()["vec"]) + 1))
-    graph = spark.sparkContext.broadcast(CentroidGraph(np.stack(_cluster(x, max(8, LIST_POINTS // share), np.random.default_rng(0)))))
+    centroids = np.stack(_cluster(x, max(8, LIST_POINTS // share), np.random.default_rng(0)))
+    graph = spark.sparkContext.broadcast(CentroidGraph(centroids))
+    probed, bundled = n_probes(len(centroids)), math.ceil(len(centroids) / BUNDLES)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,34 +166,56 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 q = _matrix(part["vec"])
-                ids, d = graph.value.search(np.hstack([q, np.zeros((len(q), 1))]), PROBES)
+                lifted = np.hstack([q, np.zeros((len(q), 1))])
+                ids, d = graph.value.scan(lifted, probed) if probed > PROBES else graph.value.search(lifted, probed)
                 row, col = np.nonzero(((d <= RATIO * d[:, :1]) | (np.arange(d.shape[1]) < LEAST_PROBES)) & (ids >= 0))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col], pa.int32()), *(part[c].take(pa.array(row)) for c in ("point", "vec"))], ["list", "point", "vec"])
+                lists = ids[row, col]
+                order = np.lexsort((lists, row))
+                row, lists = row[order], lists[order].astype(np.int32)
+                first = np.nonzero(np.diff(row, prepend=-1) | np.diff(lists // bundled, prepend=-1))[0]
+                asked = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(lists))
+                yield pa.RecordBatch.from_arrays([pa.array(lists[first] // bundled), asked, *(part[c].take(pa.array(row[first])) for c in ("point", "vec"))], ["bundle", "lists", "point", "vec"])
 
     def best(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        got = {"asked": [], "point": [], "score": []}
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(left) and len(right):
+            left = left.sort_by("list")
             x, q = (_matrix(t["vec"].combine_chunks()) for t in (left, right))
-            near = q @ x.T
-            m = min(k + 1, len(x))
-            least = np.partition(near, len(x) - m, axis=1)[:, len(x) - m] - 1e-9 * (1 + np.abs(near).max(axis=1))
-            i, j = np.nonzero(near >= least[:, None])
-            # The scores again, each by the same order of additions.
-            got = {"asked": right["point"].take(pa.array(i)), "point": left["point"].take(pa.array(j)), "score": (q[i] * x[j]).sum(axis=1)}
-        return pa.table([pa.array(got["asked"], pa.int64()) if isinstance(got["asked"], list) else got["asked"], pa.array(got["point"], pa.int64()) if isinstance(got["point"], list) else got["point"], pa.array(got["score"], pa.float64())], ["asked", "point", "score"])
+            lists, start = np.unique(left["list"].to_numpy(), return_index=True)
+            ends = np.append(start[1:], len(x))
+            # A point is one column, however many lists hold it.
+            points, row_of, column = np.unique(left["point"].to_numpy(), return_index=True, return_inverse=True)
+            wanted = right["lists"].combine_chunks()
+            asks_for = np.zeros((len(q), len(lists)), bool)
+            flat, owner = wanted.flatten().to_numpy(), np.repeat(np.arange(len(q)), wanted.value_lengths().to_numpy())
+            at = np.searchsorted(lists, flat).clip(max=len(lists) - 1)
+            asks_for[owner[lists[at] == flat], at[lists[at] == flat]] = True
+            asked, m = right["point"].to_numpy(), min(k + 1, len(points))
+            for begin in range(0, len(q), 256):
+                near = np.full((len(q[begin : begin + 256]), len(points)), -np.inf)
+                for n in range(len(lists)):
+                    rows = np.nonzero(asks_for[begin : begin + 256, n])[0]
+                    near[np.ix_(rows, column[start[n] : ends[n]])] = q[begin + rows] @ x[start[n] : ends[n]].T
+                seen = np.isfinite(near)
+                least = np.partition(near, len(points) - m, axis=1)[:, len(points) - m] - 1e-9 * (1 + np.abs(near, where=seen, out=np.zeros_like(near)).max(axis=1))
+                i, j = np.nonzero((near >= least[:, None]) & seen)
+                # The scores again, each by the same order of additions.
+                got.append((asked[begin + i], points[j], (q[begin + i] * x[row_of[j]]).sum(axis=1)))
+        return pa.table([np.concatenate(c) for c in zip(*got)], ["asked", "point", "score"])
 
     postings = stage_table(points.mapInArrow(post, "list int, point long, vec array<double>, ids array<long>"), "postings")
     asks = v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("vec").alias("asked"), "vec")
     asked = points.join(asks.select(F.col("asked").alias("point")).distinct(), "point", "left_semi").select("point", "vec")
-    probes = stage_table(asked.mapInArrow(probe, "list int, point long, vec array<double>"), "probes")
-    # A row a list, so at most SAMPLE / 8.
-    cut = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-    sizes = F.broadcast(cut(postings, LIST_CHUNK, "chunks").join(cut(probes, QUERY_BLOCK, "blocks"), "list"))
+    probes = stage_table(asked.mapInArrow(probe, "bundle int, lists array<int>, point long, vec array<double>"), "probes")
+    postings = postings.withColumn("bundle", F.expr(f"cast(list div {bundled} AS int)"))
+    # A row a bundle.
+    cut = lambda df, size, name: df.groupBy("bundle").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sizes = F.broadcast(cut(postings, CHUNK, "chunks").join(cut(probes, QUERY_BLOCK, "blocks"), "bundle"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("point", F.lit(n)), F.col(n)).cast("int")
-    left = postings.join(sizes, "list").select("list", mine("chunks").alias("chunk"), each("blocks").alias("block"), "point", "vec")
-    right = probes.join(sizes, "list").select("list", each("chunks").alias("chunk"), mine("blocks").alias("block"), "point", "vec")
-    pairs = left.groupBy("list", "chunk", "block").cogroup(right.groupBy("list", "chunk", "block")).applyInArrow(best, "asked long, point long, score double")
+    left = postings.join(sizes, "bundle").select("bundle", "list", mine("chunks").alias("chunk"), each("blocks").alias("block"), "point", "vec")
+    right = probes.join(sizes, "bundle").select("bundle", "lists", each("chunks").alias("chunk"), mine("blocks").alias("block"), "point", "vec")
+    pairs = left.groupBy("bundle", "chunk", "block").cogroup(right.groupBy("bundle", "chunk", "block")).applyInArrow(best, "asked long, point long, score double")
     by_score = [F.desc("score"), F.asc("vec_id")]
     found = pairs.distinct().join(points.select("point", "ids"), "point").select("asked", "score", F.explode("ids").alias("vec_id"))
     found = found.withColumn("nth", F.row_number().over(Window.partitionBy("asked").orderBy(*by_score))).where(F.col("nth") <= k + 1)
