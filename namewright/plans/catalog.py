@@ -260,8 +260,7 @@ def noisy_variants(spark, sf):
 
 @query(None)
 def match_cache(spark, sf):
-    c = resolve.canonical_firms(carrier.clean(spark, sf))
-    return resolve.populate_cache(c.join(F.broadcast(c.agg(F.min("firm").alias("first"))), F.col("firm") == F.col("first")).drop("first"))
+    return resolve.populate_cache(resolve.canonical_firms(carrier.clean(spark, sf)))
 
 
 _SEEDS_SQL = CLEAN_SQL + ", seeds AS (SELECT dense_rank() OVER (ORDER BY firm) AS firm_id, firm, domain FROM (SELECT DISTINCT firm, domain FROM kept))"
