@@ -26,3 +26,10 @@ def test_match_cache_has_all_firms(spark):
         exact = [f for f in firms if f.lower() == r.raw_firm.lower()]
         best = (100.0, min(exact)) if exact else min(((ratio(key(r.raw_firm), key(f)), f) for f in firms), key=lambda x: (-x[0], x[1]))
         assert (r.canonical_firm, r.domain) == (best[1], firms[best[1]]) and abs(r.match_score - best[0]) < 1e-9
+
+
+def test_firm_site_ratio_of_all_contacts(spark):
+    rows = contacts.contacts(spark, DATA).collect()
+    want = {r.id: round(ratio(r.firm, r.website.split("//WWW.")[1].split("/")[0]), 6) for r in rows}
+    got = catalog.QUERIES["firm_site_ratio_all"](spark, DATA).collect()
+    assert len(got) == len(rows) and all(abs(r.score - want[r.id]) < 1e-6 for r in got)
