@@ -179,6 +179,12 @@ def nfkd_documents(spark, sf):
     return table(spark, sf, "documents").where("lang IN ('es', 'fr')").select("doc_id", text.nfkd_ascii(F.substring("text", 1, 200)).alias("plain"))
 
 
+@query(None)
+def nfkd_documents_all(spark, sf):
+    """nfkd_documents over the whole text of every document; its SQL has 200 characters of two languages."""
+    return table(spark, sf, "documents").select("doc_id", text.nfkd_ascii(F.col("text")).alias("plain"))
+
+
 @query("SELECT id, array_to_string(string_split(replace(firm, '_', ''), ' '), ' ') AS words FROM (SELECT id, replace(firm, '_', '-') AS f, firm FROM contacts)", CONTACTS_SQL)
 def firm_words(spark, sf):
     return carrier.contacts(spark, sf).select("id", words(text.firm_words(F.replace("firm", F.lit("_"), F.lit("'")))).alias("words"))
