@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
@@ -13,20 +15,38 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Where that is unset, a folder of our own if everything runs
+    in this process, as in tests; on a cluster that would be another folder on every machine, so it raises."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="namewright-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: the lineage ends there, and a lost executor
-    costs only the tasks it ran."""
+#: Files of a written table: so many a core, or one for so many bytes if that is more.
+FILES_PER_CORE, FILE_BYTES = 4, 64 << 20
+
+
+def few_files(df: DataFrame, like: DataFrame | None = None, files: int | None = None) -> DataFrame:
+    """df in no more partitions than are useful to write: `files` where the caller knows the table to be small, else by the
+    size that the optimizer knows of df, or of `like`, a table at least as large. It only merges partitions, without a
+    shuffle, and leaves large tables as they are, since a size that is overestimated means more files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if files is None:
+        size = int(str((like if like is not None else df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        files = max(FILES_PER_CORE * cores, math.ceil(size / FILE_BYTES))
+    return df.coalesce(files) if files < 1 << 20 else df
+
+
+def stage_table(df: DataFrame, name: str, like: DataFrame | None = None, files: int | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder, in few_files, and reads it back: the lineage ends there, and a lost
+    executor costs only the tasks it ran."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/namewright/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    few_files(df, like, files).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
@@ -47,10 +67,15 @@ def literal_table(spark: SparkSession, names: Sequence[str], rows: Iterable[Sequ
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once a row even where body uses it again or in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ascii_lower(c: Column) -> Column:
-    """Lower-cases A-Z. lower() is used as its ASCII path is fast; it maps one other character, the Kelvin sign, into
-    ASCII, so that is exchanged for a letter that lower() leaves alone. Other letters may change case too, which
-    neither makes nor removes an ASCII character."""
+    """Lower-cases A-Z. lower() is used as its ASCII path is fast; it maps two other characters to something with an ASCII
+    letter: the Kelvin sign, which is exchanged for a letter that lower() leaves alone, and the capital I with a dot, whose
+    i is followed by a combining dot, so that it stays a word character among others. Other letters may change case too."""
     return F.lower(F.replace(c, F.lit("\u212a"), F.lit("\u0138")))
 
 
@@ -66,7 +91,7 @@ def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Joins docs to a staged table of distinct ids. The ids are broadcast if they are counted to be few enough, so that
     texts needn't move; otherwise both sides are shuffled."""
     few = ids.count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", how).select(*docs.columns)
+    return few_files(docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", how).select(*[F.col(f"`{c}`") for c in docs.columns]), docs)
 
 
 def drop_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -77,3 +102,28 @@ def drop_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def keep_within(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in ids."""
     return _by_id(docs, ids, "left_semi")
+
+
+#: A key with more than one in so many of all rows is hot; there can't be more hot keys than that.
+HOT_SHARE = 1000
+
+
+def join_by_counts(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """rows joined to keyed (staged, one row a key, n: how many of rows have it; n is left out). Hot keys, HOT_SHARE at most
+    whatever the data, are broadcast, so that none of them lands in one task; the others are joined by a shuffle, in which no
+    key has more than one in HOT_SHARE of all rows."""
+    least = (keyed.agg(F.sum(n)).first()[0] or 0) / HOT_SHARE
+    hot, rest = keyed.where(F.col(n) > least).drop(n), keyed.where(F.col(n) <= least).drop(n)
+    common = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
+    return common.unionByName(others)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc): each row of docs as a struct, with a number of its own that stays the same at each reading: the id where ids
+    are distinct and never null, else a count that is stored with the rows."""
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    ids = docs.select(F.col("doc_id").cast("long").alias("row"))
+    if not ids.groupBy("row").count().where("count > 1 OR row IS NULL").limit(1).count():
+        return docs.select(F.col("doc_id").cast("long").alias("row"), doc)
+    return stage_table(docs.select(F.monotonically_increasing_id().alias("row"), doc), "numbered", like=docs)

@@ -36,5 +36,5 @@ def components(links: DataFrame) -> DataFrame:
         if now["n"] == 0 or now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark, old = now, e
-        e = stage_table(_small_star(_large_star(e)), "links")
+        e = stage_table(_small_star(_large_star(e)), "links", like=old)
         drop_staged(old)

@@ -163,7 +163,7 @@ def find_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, ove
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs in which no item is found, with all columns; rows without an id stay."""
-    return drop_without(docs, stage_table(find_contaminated(docs, items).where("doc_id is not null").select("doc_id").distinct(), "leaks"))
+    return drop_without(docs, stage_table(find_contaminated(docs, items).where("doc_id is not null").select("doc_id").distinct(), "leaks", like=docs))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
-r"""Near copies for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
+r"""Near copies for the pipeline: SimHash near-dedup of five-word shingles, verified and completed to a similarity of 0.8.
 
-Edited copies at this similarity differ in many bits of a SimHash fingerprint, so candidates come from MinHash: a signature
-of BANDS x ROWS minima, cut into bands. Texts that share a band are candidates; at a similarity of exactly 0.8 all bands of a
-pair differ with a probability of (1 - 0.8^ROWS)^BANDS, 6 in 100,000, and less above. Candidates that hang together form a
+Texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. The SimHash operator's deletion
+variants give the candidates whose fingerprints of those sets differ in at most 2 bits. Most edited copies at this similarity
+differ in more, beyond what segments with one wildcard can reach, so MinHash adds the others: a signature of BANDS x ROWS
+minima, cut into bands. Texts that share a band are candidates; at a similarity of exactly 0.8 all bands of a pair differ with
+a probability of (1 - 0.8^ROWS)^BANDS, 6 in 100,000, and less above. Candidates that hang together form a
 cluster, in which the links are decided on the sets themselves: a search goes from text to text and counts the shingles
 shared with every text not reached yet, so neither a missing band nor a false one changes what is linked within a cluster.
 
@@ -20,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, drop_without, keep_within, stage_table
+from .common import LOWER, UPPER, drop_without, few_files, join_by_counts, keep_within, stage_table
 from .components import components
+from .simhash import majority, near_links
 
 SHINGLE_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -72,7 +75,7 @@ def bands(s: np.ndarray) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingles(t.as_py()) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(node, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(node, sets), pa.int64()), pa.array(map(majority, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))], ["doc_id", "node", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,32 +137,40 @@ def near_copies(docs: DataFrame) -> DataFrame:
     are null. A null text counts as empty; texts without words are alike and link to no other. Rows with equal ids count each.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = stage_table(d.mapInArrow(_signed, "doc_id long, node long, bands array<long>"), "signatures")
-    nodes = stage_table(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "nodes")
+    marked = stage_table(d.mapInArrow(_signed, "doc_id long, node long, fp long, bands array<long>"), "signatures", like=docs)
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.count("*").alias("n"))
+    nodes = stage_table(nodes, "nodes", like=marked)
+    # Texts with words: by fingerprint the smallest node, and what is within 2 bits of it.
+    worded = nodes.where("size(bands) > 0").select("fp", "node")
+    by_fp = stage_table(worded.groupBy("fp").agg(F.min("node").alias("u")), "by-fingerprint", like=nodes)
+    alike = worded.join(by_fp, "fp").where("node <> u").select("u", F.col("node").alias("v"))
+    near = near_links(by_fp.select("fp")).withColumnsRenamed({"u": "a", "v": "b"})
+    near = near.join(by_fp.select(F.col("fp").alias("a"), "u"), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("u").alias("v")), "b").select("u", "v")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("u")).where("n > 1").select("band", "u")
-    together = components(banded.join(buckets, "band").where("node <> u").select("u", F.col("node").alias("v")))
+    banded = banded.join(buckets, "band").where("node <> u").select("u", F.col("node").alias("v"))
+    together = components(banded.unionAll(alike).unionAll(near))
     clusters = together.unionAll(together.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "cluster")
-    clusters = stage_table(clusters.join(nodes.select("node", "first"), "node"), "clusters")
-    texts = keep_within(d, stage_table(clusters.where("first is not null").select(F.col("first").alias("doc_id")).distinct(), "first-ids"))
+    clusters = stage_table(clusters.join(nodes.select("node", "first"), "node"), "clusters", like=nodes)
+    texts = keep_within(d, stage_table(clusters.where("first is not null").select(F.col("first").alias("doc_id")).distinct(), "first-ids", like=clusters))
     if clusters.where("first is null").limit(1).count():
         texts = texts.unionAll(d.where("doc_id is null"))
     # An id may have other texts as well, and texts without id may be equal: one row a node.
     sets = texts.mapInArrow(_sets, "node long, hashes array<long>").join(clusters.select("node", "cluster"), "node").dropDuplicates(["node"])
-    parts = stage_table(sets.groupBy("cluster").applyInArrow(_verify, "node long, root long"), "parts").join(nodes.select("node", "first"), "node")
+    parts = stage_table(sets.groupBy("cluster").applyInArrow(_verify, "node long, root long"), "parts", like=clusters).join(nodes.select("node", "first"), "node")
     least = parts.groupBy("root").agg(F.min("first").alias("least"))
     named = parts.join(least, "root").select("node", "least")
-    ids = nodes.join(named, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-    return marked.join(ids, "node").select("doc_id", "component_id")
+    ids = stage_table(nodes.join(named, "node", "left").select("node", "n", F.coalesce("least", "first").alias("component_id")), "named", like=nodes)
+    return join_by_counts(marked.select("doc_id", "node"), ids, ["node"]).select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without those that near_copies puts into the component of another, smaller id. All columns stay.
     Of rows that share the kept id one stays; rows without an id can't be told apart by it and stay."""
     found = near_copies(docs)
-    gone = stage_table(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    gone = stage_table(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies", like=docs)
     out = drop_without(docs, gone)
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeated:
         out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out
+    return few_files(out, docs)

@@ -212,7 +212,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
     by_order = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         suffix = F.col("code").bitwiseAND(F.lit((1 << BITS * k) - 1))
-        by_order[k] = stage_table(by_order[k + 1].groupBy(suffix.alias("code")).agg(F.count(F.when(F.col("n") > 0, 1)).alias("n")), f"order-{k}")
+        by_order[k] = stage_table(by_order[k + 1].groupBy(suffix.alias("code")).agg(F.count(F.when(F.col("n") > 0, 1)).alias("n")), f"order-{k}", like=by_order[k + 1])
     p = None
     for k in range(1, ORDER + 1):
         d = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -238,8 +238,8 @@ def perplexities(docs: DataFrame, training: DataFrame) -> DataFrame:
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
     asked = read.mapInArrow(_asked, "chunk long, code long")
     counted = training.select(F.col("text").cast("string").alias("text")).mapInArrow(_counts, "code long, n long")
-    counts = stage_table(counted.unionByName(asked.select("code", F.lit(0).cast("long").alias("n"))).groupBy("code").agg(F.sum("n").alias("n")), "counts")
-    model = stage_table(probabilities(counts).select("code", F.log("p").cast("float").alias("logp")), "model")
+    counts = stage_table(counted.unionByName(asked.select("code", F.lit(0).cast("long").alias("n"))).groupBy("code").agg(F.sum("n").alias("n")), "counts", like=docs)
+    model = stage_table(probabilities(counts).select("code", F.log("p").cast("float").alias("logp")), "model", like=counts)
     given = asked.join(model, "code").select("chunk", "code", "logp")
     return read.mapInArrow(_packed, _PACKED).groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(_summed, _SCORES)
 
@@ -269,10 +269,10 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, m
     Without any held-out document there is no limit, and whatever has a perplexity is kept. Repeated rows are judged row by
     row; other columns are ignored. docs must be a stored table, or read alike each time.
     """
-    ids = stage_table(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "trusted")
+    ids = stage_table(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "trusted", like=trusted_ids)
     aside = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
-    scores = stage_table(perplexities(docs, keep_within(docs.select("doc_id", "text"), ids.where(~aside))), "perplexities")
-    limits = stage_table(thresholds(keep_within(scores, ids.where(aside)), quantile), "limits")
+    scores = stage_table(perplexities(docs, keep_within(docs.select("doc_id", "text"), ids.where(~aside))), "perplexities", like=docs)
+    limits = stage_table(thresholds(keep_within(scores, ids.where(aside)), quantile), "limits", files=1)
     overall = limits.where("lang is null").select(F.col("log_limit").alias("overall"))
     # As many rows as languages with 200 held-out documents; one row.
     out = scores.join(limits.where("lang is not null"), "lang", "left").join(F.broadcast(overall), F.lit(True), "left")
@@ -283,7 +283,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, m
 def keep_good(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """The rows of docs that classify keeps, with all columns. An id of which one row isn't kept goes with all its rows;
     rows without an id stay."""
-    return drop_without(docs, stage_table(classify(docs, trusted_ids).where("NOT kept AND doc_id is not null").select("doc_id").distinct(), "rejected"))
+    return drop_without(docs, stage_table(classify(docs, trusted_ids).where("NOT kept AND doc_id is not null").select("doc_id").distinct(), "rejected", like=docs))
 
 
 def trusted(labels: DataFrame) -> DataFrame:

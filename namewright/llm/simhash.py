@@ -12,7 +12,8 @@ the 32 one-wildcard variants of the first (bit i left out). Buckets are equality
 
 So work is linear in the distinct fingerprints, however many copies there are. Components come from components.py.
 
-Scale: one Arrow pass makes (doc_id, fingerprint); everything later works on distinct fingerprints, 8 bytes each.
+Scale: one Arrow pass makes (doc_id, fingerprint); everything later works on distinct fingerprints, 8 bytes each, until the
+documents meet their fingerprint's component, the commonest fingerprints by a broadcast of bounded size.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, stage_table, table
+from .common import LOWER, UPPER, join_by_counts, stage_table, table
 from .components import components
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -45,6 +46,11 @@ def fingerprint(text: str | None, n_words: int = 3) -> int:
         ends = np.cumsum(lens + 1) - 1
         digest = xxhash.xxh64_intdigest
         h = np.array([digest(joined[s:e], 42) for s, e in zip((ends - lens).tolist(), ends[n_words - 1 :].tolist())], np.uint64)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """Of unsigned 64-bit hashes the bits that are set in over half of them, as a signed integer."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 15):
         part = h[at : at + (1 << 15)]
@@ -82,7 +88,7 @@ def near_links(fps: DataFrame) -> DataFrame:
     """fps: distinct fp. Links (u, v), each verified, that connect all fingerprints at 2 or fewer differing bits."""
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 2
     buckets = _signatures(fps).groupBy("sig").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
-    buckets = stage_table(buckets, "buckets")
+    buckets = stage_table(buckets, "buckets", like=fps)
     pairs = buckets.where("n = 2").where(near("u", "v")).select("u", "v")
     many = _signatures(fps).join(buckets.where("n > 2").select("sig"), "sig")
     tag = F.shiftrightunsigned("sig", 32)
@@ -102,18 +108,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id reachable over links of 2 or fewer differing bits; null only if all reachable ids
     are null. A null text counts as empty; texts without words share fingerprint zero, which links like any other. Equal
-    texts are one fingerprint, repeated rows and ids keep a row each, other columns are ignored, and an empty table gives
-    an empty result.
+    texts are one fingerprint, repeated rows and ids keep a row each, a text of any length is read whole, other columns are
+    ignored, and an empty table gives an empty result.
     """
-    marked = stage_table(fingerprints(docs), "fingerprints")
-    distinct = stage_table(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = stage_table(components(near_links(distinct.select("fp"))).select(F.col("node").alias("fp"), "root"), "roots")
+    marked = stage_table(fingerprints(docs), "fingerprints", like=docs)
+    distinct = stage_table(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct", like=marked)
+    roots = stage_table(components(near_links(distinct.select("fp"))).select(F.col("node").alias("fp"), "root"), "roots", like=distinct)
     # Of each component with more than one fingerprint, the smallest id.
     members = roots.unionAll(roots.select(F.col("root").alias("fp"), "root").distinct())
     firsts = members.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("least"))
     named = members.join(firsts, "root").select("fp", "least")
-    ids = distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    out = marked.join(ids, "fp")
+    ids = distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id"))
+    out = join_by_counts(marked, stage_table(ids, "components", like=distinct), ["fp"])
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
