@@ -40,7 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", quality),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("PII", pii),
     ("mixing sources", mixing),
@@ -57,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SQL can't express the classifier, the MinHash bands or the surrogates; tests/llm holds run() against a brute-force version.
+#: SQL can't express the classifier, the near copies' shingle sets or the surrogates; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
