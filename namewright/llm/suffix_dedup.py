@@ -11,12 +11,12 @@ cut where their windows end, are sorted by a distributed merge sort:
   and compares only from there on, never a byte that is known to be equal.
 
 The merged order gives each suffix its longest common prefix with any other, hence how far to the left of the anchor a
-window must start to be repeated at all; those windows are confirmed by digests of their 200 bytes. An anchor that is very
+window must start to be repeated at all; those windows are sorted by digests of their 200 bytes and compared. An anchor that is very
 frequent is cut into blocks of windows, each dealt by the digest of the bytes that its windows share, so that a common
 passage with different surroundings spreads over many shards.
 
-Scale: anchors are one in about 70 bytes, and only their hashes are shuffled over the whole corpus; suffixes travel only for
-repeated anchors. What is found in a text meets it by a join on the row number, twice, with the texts compressed.
+Scale: anchors are one in about 70 bytes, and only their hashes are shuffled over the whole corpus, counted before they are
+joined, the commonest by a broadcast of bounded size; suffixes travel only for repeated anchors. What is found in a text meets it by a join on the row number, twice, with the texts compressed.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage_table, table
+from .common import join_by_counts, stage_table, table
 
 WIDTH, GRAM = 200, 64
 REACH = WIDTH - GRAM  # an anchor starts at most so many bytes after its window
@@ -258,6 +258,29 @@ def _decoded(prefixes: bytes, lengths: bytes, rests: bytes, lefts: bytes, places
         at, left_at = at + m, left_at + k
 
 
+def equal_windows(flat: np.ndarray, starts: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Which of the windows of flat, in the order of their digests, equal another one byte for byte; same: whether a window's
+    digest is also that of the next."""
+    equal, span = same.copy(), np.arange(WIDTH)
+    pairs = np.flatnonzero(same)
+    for at in range(0, len(pairs), 20_000):
+        x = pairs[at : at + 20_000]
+        equal[x] = (flat[starts[x][:, None] + span] == flat[starts[x + 1][:, None] + span]).all(axis=1)
+    hit = np.zeros(len(starts), bool)
+    hit[1:] |= equal
+    hit[:-1] |= equal
+    # Different windows with one digest may lie between equal ones.
+    for x in np.flatnonzero(same & ~equal):
+        a, b = x, x + 1
+        while a and same[a - 1]:
+            a -= 1
+        while b < len(same) and same[b]:
+            b += 1
+        strings = [flat[i : i + WIDTH].tobytes() for i in starts[a : b + 1].tolist()]
+        hit[a : b + 1] = [strings.count(w) > 1 for w in strings]
+    return hit
+
+
 def _merge(shard: pa.Table) -> pa.Table:
     """(row, p1, p2): ranges of repeated windows among the shard's suffixes."""
     import zstandard
@@ -293,9 +316,9 @@ def _merge(shard: pa.Table) -> pa.Table:
     own, j = (np.concatenate(x) for x in zip(*owners))
     order = np.argsort(d, kind="stable")
     same = d[order[1:]] == d[order[:-1]]
-    hit = np.zeros(len(d), bool)
-    hit[order[1:]] |= same
-    hit[order[:-1]] |= same
+    flat = np.frombuffer(b"".join(x[2] + x[1] for x in kept), np.uint8)
+    starts = np.cumsum([0, *(len(x[1]) + len(x[2]) for x in kept[:-1])])[own] + j
+    hit = equal_windows(flat, starts[order], same)[np.argsort(order)]
     own, j = own[hit], j[hit]
     first = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(j, prepend=-9) != 1))
     end = np.append(first[1:], len(own)) - 1
@@ -335,14 +358,14 @@ def _numbered(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text) with distinct row numbers that stay the same in each pass."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     once = d.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() == 0
-    return d.withColumn("row", F.col("doc_id")) if once else stage_table(d.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    return d.withColumn("row", F.col("doc_id")) if once else stage_table(d.withColumn("row", F.monotonically_increasing_id()), "numbered", like=docs)
 
 
 def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with with_kept
     the remaining bytes as `kept`.
 
-    Texts are judged as UTF-8; null counts as empty. Texts under 200 bytes lose nothing. Repeated rows and equal or null
+    Texts are judged whole, as UTF-8, in chunks of CHUNK bytes if they are very long; null counts as empty. Texts under 200 bytes lose nothing. Repeated rows and equal or null
     ids are rows of their own, so a repeated long text is removed entirely. Other columns are ignored; an empty table gives
     an empty result.
     """
@@ -351,17 +374,19 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     packed = texts.mapInArrow(_pack, "row long, packed binary")
     # One record for an anchor in a document, with all its places.
     places = texts.where(F.octet_length("text") >= WIDTH).mapInArrow(_anchor_rows, "h long, row long, places binary")
+    places = stage_table(places, "places", like=docs)
     n = F.octet_length("places") / 12
-    counted = places.withColumn("n", F.sum(n).over(Window.partitionBy("h"))).where("n > 1")
+    counts = places.groupBy("h").agg(F.count("*").alias("n"), F.sum(n).alias("in_all")).where("in_all > 1")
+    counted = join_by_counts(places, stage_table(counts, "counts", like=places), ["h"])
     # One document's anchors.
-    mine = counted.groupBy("row").agg(F.collect_list(F.struct("h", "places", (F.col("n") > HOT).alias("hot"))).alias("found"), F.sum(n).alias("n"))
-    mine = stage_table(mine, "anchors")
+    mine = counted.groupBy("row").agg(F.collect_list(F.struct("h", "places", (F.col("in_all") > HOT).alias("hot"))).alias("found"), F.sum(n).alias("n"))
+    mine = stage_table(mine, "anchors", like=places)
     n_shards = max(4, math.ceil((mine.agg(F.sum("n")).first()[0] or 0) / SHARD_SUFFIXES))
     runs = packed.join(mine.hint("merge"), "row").select("row", "packed", "found").mapInArrow(_suffix_runs(n_shards), _RUN)
-    runs = stage_table(runs, "runs")
+    runs = stage_table(runs, "runs", like=docs)
     merged = runs.where("row is null").groupBy("shard").applyInArrow(_merge, "row long, p1 int, p2 int")
     windows = merged.unionByName(runs.where("row is not null").select("row", "p1", "p2"))
-    spans = stage_table(windows.groupBy("row").agg(F.collect_list(F.struct("p1", "p2")).alias("windows")), "windows")
+    spans = stage_table(windows.groupBy("row").agg(F.collect_list(F.struct("p1", "p2")).alias("windows")), "windows", like=runs)
     done = packed.join(spans.hint("merge"), "row", "left").select("row", "packed", "windows").mapInArrow(_removed(with_kept), _OUT)
     cols = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
     if "doc_id" in docs.columns and not hasattr(docs, "_staged_path"):

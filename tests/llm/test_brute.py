@@ -108,6 +108,13 @@ def test_suffixes(spark, monkeypatch):
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
+def test_equal_windows_with_one_digest():
+    strings = [b"a" * 200, b"b" * 200, b"a" * 200, b"c" * 200, b"d" * 200, b"d" * 200, b"e" * 200]
+    flat, starts = np.frombuffer(b"".join(strings), np.uint8), np.arange(7) * 200
+    same = np.array([True, True, True, False, True, False])
+    assert suffix_dedup.equal_windows(flat, starts, same).tolist() == [True, False, True, False, True, True, False]
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for _ in range(100):
