@@ -7,15 +7,18 @@ rule wins. No step depends on a page's own depth or length, and nothing is cut o
 equal no rule.
 
 Scale: the pages are reduced to distinct resources before the expansion, the rules are broadcast only if Spark finds them
-under its own threshold, and both joins are plain equi-joins, whose hot partitions adaptive execution splits.
+under its own threshold, and all joins are equi-joins. Resources that very many pages share, and their number is bounded, meet
+the pages by a broadcast, the others by a shuffle (join_by_counts).
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, literal_table, table
+from .common import LOWER, UPPER, join_by_counts, let, literal_table, stage_table, table
 
 #: (host, path, action)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -37,20 +40,24 @@ def judge_urls(
     Null urls and urls without '://' have an empty host and path, fit no rule and get default_verdict, as does every url
     that no rule fits. Of equally long rules the longer host wins, then block. Repeated rows are judged row by row; other
     columns of pages are ignored; an empty table gives an empty result. The shapes of the rules are the only thing
-    collected: at most (labels of the deepest host) x (characters of the longest path).
+    collected, as one value: at most (labels of the deepest host) x (characters of the longest path) numbers.
     """
     r = rules.select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"), "action").where("rule_host is not null and rule_path is not null").distinct()
     r = r.select(F.size(F.split("rule_host", r"\.")).alias("n_labels"), F.length("rule_path").alias("n_path"), "rule_host", F.concat("rule_host", "rule_path").alias("rule"), "action")
-    shapes = r.select("n_labels", "n_path").distinct().collect()
+    # One value, however many shapes there are, so that the plan doesn't grow with the rules.
+    shapes = r.groupBy("n_labels").agg(F.array_sort(F.collect_set("n_path")).alias("n_paths")).orderBy("n_labels").collect()
+    known = F.from_json(F.lit(json.dumps([s.asDict() for s in shapes])), "array<struct<n_labels:int,n_paths:array<int>>>")
     host, path = url_parts(F.col("url"))
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).select("id", host.alias("host"), path.alias("path"))
-    if not shapes:
-        return urls.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default_verdict).alias("verdict"))
+    resources = stage_table(urls.groupBy("host", "path").agg(F.count("*").alias("n")), "resources", like=pages.select(id_col, url_col))
     labels = F.split("host", r"\.")
-    expressions = F.array_compact(
-        F.array(*[F.when((F.size(labels) >= s.n_labels) & (F.length("path") >= s.n_path), F.concat(F.array_join(F.slice(labels, -s.n_labels, s.n_labels), "."), F.substring("path", 1, s.n_path))) for s in shapes])
-    )
-    found = urls.select("host", "path").distinct().select("host", "path", F.explode(expressions).alias("expression"))
+
+    def expressions(parts: Column, s: Column) -> Column:
+        suffix = F.array_join(F.slice(parts, -s["n_labels"], s["n_labels"]), ".")
+        return F.transform(F.filter(s["n_paths"], lambda n: n <= F.length("path")), lambda n: F.concat(suffix, F.substring(F.col("path"), F.lit(1), n)))
+
+    every = let(labels, lambda parts: F.flatten(F.transform(F.filter(known, lambda s: s["n_labels"] <= F.size(parts)), lambda s: expressions(parts, s))))
+    found = resources.select("host", "path", F.explode(every).alias("expression"))
     found = found.withColumn("digest", F.sha2("expression", 256)).select("host", "path", "digest", F.substring("digest", 1, prefix_digits).alias("prefix"))
     listed = r.withColumn("rule_digest", F.sha2("rule", 256)).withColumn("prefix", F.substring("rule_digest", 1, prefix_digits))
     best = (
@@ -59,7 +66,8 @@ def judge_urls(
         .groupBy("host", "path")
         .agg(F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), F.length("rule_host"), F.col("action") == "block")).alias("best"))
     )
-    out = urls.join(best, ["host", "path"], "left")
+    judged = stage_table(resources.join(best, ["host", "path"], "left"), "judged", like=resources)
+    out = join_by_counts(urls, judged, ["host", "path"])
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default_verdict)).alias("verdict"))
 
 

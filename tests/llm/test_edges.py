@@ -106,3 +106,24 @@ def test_stages(spark, docs, none, labels, items, tmp_path, name, stage):
     ids = [r.doc_id for r in out.collect()]
     assert 1 in ids and (8 in ids or name == "quality classifier")  # the only trusted texts there are no guide to 8
     assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_urls_against_every_rule(spark):
+    """All pages against some hundred rules of many shapes, one by one in Python."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    parts = {}
+    for r in pages.collect():
+        rest = (r.url or "").partition("://")[2]
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        end = min([rest.find(c, cut) for c in "?#" if c in rest[cut:]] or [len(rest)])
+        parts[r.page_id] = (rest[:cut].lower(), rest[cut:end])
+    hosts = sorted({h for h, _ in parts.values() if h})
+    rules = [(".".join(h.split(".")[i % 3 :]), p[: 1 + i * 7 % 23], "allow" if i % 3 else "block") for i, (h, p) in enumerate(sorted(set(parts.values()))) if h and p]
+    rules = sorted({(h, p): a for h, p, a in rules if h}.items())[:300]
+    table = common.literal_table(spark, ("host", "path", "action"), [(*k, a) for k, a in rules])
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, table).collect()}
+    assert len(hosts) > 3 and len(rules) > 20
+    for i, (host, path) in parts.items():
+        fit = [(h, p, a) for (h, p), a in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fit, key=lambda r: (len(r[0] + r[1]), len(r[0])), default=None)
+        assert got[i] == ((best[0] + best[1], best[2]) if best else (None, "allow"))
