@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import tempfile
@@ -62,9 +63,14 @@ def drop_staged(df: DataFrame | None) -> None:
 
 
 def literal_table(spark: SparkSession, names: Sequence[str], rows: Iterable[Sequence]) -> DataFrame:
-    """A few constant rows as a plan, so that the optimiser knows their size."""
-    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    """A few constant rows as a plan, one value whatever their number, so that the optimiser knows their size. A column's type
+    follows its first value that isn't null."""
+    rows = [list(r) for r in rows]
+    kinds = {bool: "boolean", int: "int", float: "double", str: "string"}
+    types = [kinds[type(next((r[i] for r in rows if r[i] is not None), ""))] for i in range(len(names))]
+    schema = f"array<struct<{','.join(f'{n}:{t}' for n, t in zip(names, types, strict=True))}>>"
+    made = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(made), schema)))
 
 
 def let(value: Column, body) -> Column:

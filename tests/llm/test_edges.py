@@ -127,3 +127,16 @@ def test_urls_against_every_rule(spark):
         fit = [(h, p, a) for (h, p), a in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fit, key=lambda r: (len(r[0] + r[1]), len(r[0])), default=None)
         assert got[i] == ((best[0] + best[1], best[2]) if best else (None, "allow"))
+
+
+def test_licenses_in_dense_and_broken_notices(spark):
+    texts = {
+        1: "released under the MIT License, MIT License, MIT License, MIT License", 2: "Released under the (new) MIT license.", 3: "license mit the under released",
+        4: "mit license mit license mit license", 5: "Permission is hereby granted, free of charge, to ANY person obtaining a copy of this software and its documentation files",
+    }
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[1] == ("mit", 1.0) and got[2] == ("mit", 0.75) and got[3] == got[4] == ("", 0.0) and got[5][0] == "mit"
+    with pytest.raises(ValueError):
+        license_scan.template_grams(k=3)
+    three = license_scan.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), base=(), k=3)
+    assert {r.doc_id for r in three.collect() if r.labels == "mit"} == {1, 5}
