@@ -78,6 +78,18 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def unused_mark(text: Column) -> Column:
+    """A string that the text doesn't hold, as it would hold a digest of itself."""
+    return F.concat(F.lit("\x01"), F.md5(text), F.lit("\x01"))
+
+
+def cut_text(text: Column, pattern: Column | str, mark: Column) -> Column:
+    """The text's pieces, the odd ones (from 0) what the pattern finds, in one pass of the pattern. mark is a string that the
+    text doesn't hold."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return F.split(F.regexp_replace(text, pattern, F.concat(mark, F.lit("$0"), mark)), mark, -1)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z. lower() is used as its ASCII path is fast; it maps two other characters to something with an ASCII
     letter: the Kelvin sign, which is exchanged for a letter that lower() leaves alone, and the capital I with a dot, whose

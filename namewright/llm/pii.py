@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_staged, few_files, join_by_counts, let, stage_table, table
+from .common import cut_text, drop_staged, few_files, join_by_counts, let, stage_table, table, unused_mark
 
 FEMALE, MALE, EITHER = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Κυρία", "Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος", "Dr|Prof"
 _NAME = r"\p{Lu}[\p{L}'’\-]*+"
@@ -138,17 +138,6 @@ def _parts(m: Column, lit: Column) -> Column:
     )
 
 
-def _cut(text: Column, pattern: Column | str, mark: Column) -> Column:
-    """The text's pieces, the odd ones what the pattern finds. mark is a string that the text doesn't hold."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    return F.split(F.regexp_replace(text, pattern, F.concat(mark, F.lit("$0"), mark)), mark, -1)
-
-
-def _mark(text: Column) -> Column:
-    """A string that the text doesn't hold, as it would hold a digest of itself."""
-    return F.concat(F.lit("\x01"), F.md5(text), F.lit("\x01"))
-
-
 def _document(pieces: Column) -> Column:
     """The parts of a document from its pieces."""
     places = F.when(F.size(pieces) > 1, F.sequence(F.lit(0), F.size(pieces) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
@@ -165,7 +154,7 @@ def _bare(parts: Column, names: Column, pattern: Column, mark: Column) -> Column
         more = F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(0), F.size(pieces) - 2, F.lit(2)), found)).otherwise(F.array().cast(f"array<{_PART}>"))
         return F.concat(more, F.array(_part(F.element_at(pieces, -1), p["kind"], p["canon"], p["raw"], p["gender"])))
 
-    cut = lambda p: let(_cut(p["lit"], pattern, mark), lambda pieces: one(p, pieces))
+    cut = lambda p: let(cut_text(p["lit"], pattern, mark), lambda pieces: one(p, pieces))
     return F.flatten(F.transform(parts, lambda p: F.when(F.rlike(p["lit"], pattern), cut(p)).otherwise(F.array(p))))
 
 
@@ -178,7 +167,7 @@ def _with_repeats(parts: Column, pieces: Column) -> Column:
         said = F.transform(names, lambda p: p["raw"])
         raw = F.array_sort(F.array_distinct(F.concat(said, F.transform(said, F.upper))), lambda a, b: F.length(b) - F.length(a))
         pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(raw, "|"), F.lit(r")(?![\p{L}\p{N}])"))
-        known = F.struct(pattern.alias("pattern"), _mark(F.array_join(pieces, "")).alias("mark"))
+        known = F.struct(pattern.alias("pattern"), unused_mark(F.array_join(pieces, "")).alias("mark"))
         return F.when(F.size(names) == 0, parts).otherwise(let(known, lambda k: _bare(parts, names, k["pattern"], k["mark"])))
 
     return let(F.array_sort(F.filter(parts, person), surnames_first), of)
@@ -282,7 +271,7 @@ def replace_pii(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     has = F.coalesce(text.rlike(HINT) & text.rlike(PATTERN), F.lit(False))
     clean = docs.where(~has).withColumn("n_entities", F.lit(0).cast("long"))
     rest = F.struct(*[F.lit(None).cast("string").alias("text") if c == "text" else F.col(c) for c in names])
-    found = docs.where(has).select(F.monotonically_increasing_id().alias("row"), rest.alias("rest"), _cut(text, PATTERN, _mark(text)).alias("pieces"))
+    found = docs.where(has).select(F.monotonically_increasing_id().alias("row"), rest.alias("rest"), cut_text(text, PATTERN, unused_mark(text)).alias("pieces"))
     found = stage_table(found, "found", like=docs)
     parts = let(_document(F.col("pieces")), lambda parts: _with_repeats(parts, F.col("pieces")))
     parts = stage_table(found.select("row", "rest", parts.alias("parts")), "parts", like=found)
