@@ -8,8 +8,9 @@ the sums, finds every item whose score reaches the threshold. The whole text is
 more. A hit counts if the passage has at least `overlap` of the five-word shingles both
 of the item's question (all but its last sentence) and of its answer (the last one).
 
-Scale: items are indexed in blocks of at most MAX_ITEMS, each a bounded broadcast and one pass over the documents; texts
-never move, and no step groups by a term or a passage, so frequent ones cost no skew.
+Scale: items are indexed in blocks of about MAX_ITEMS, each a bounded broadcast. The documents are read once: a task holds some
+of its texts while it loads one index after the other. Texts never move, and no step groups by a term or a passage, so frequent
+ones cost no skew.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, drop_without, stage_table, table
 
 MAX_ITEMS = 20_000
+#: Characters of texts held while one index after the other is loaded, where there are several.
+TOGETHER = 1 << 24
 K1, B, BLOCK = 1.2, 0.75, 64
 SHINGLE = 5
 _CUT = bytes(ord(LOWER[UPPER.index(chr(i))]) if chr(i) in UPPER else i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
@@ -127,6 +130,21 @@ class Index:
         return [set()] + [{b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} for n in range(1, SHINGLE + 1)]
 
 
+def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list]]:
+    """(ids, texts) of at least so many characters together, but for the last."""
+    ids, texts, n = [], [], 0
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            ids.append(i)
+            texts.append(t.as_py())
+            n += len(texts[-1] or "")
+            if n >= size:
+                yield ids, texts
+                ids, texts, n = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 _HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_word int"
 
 
@@ -136,29 +154,29 @@ def find_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, ove
     own and `overlap` of its question and answer shingles; of several passages the one with the most overlap.
 
     Null and empty texts and items without words match nothing; items with equal texts or ids are found each; repeated rows
-    are searched each; other columns are ignored. Without items the result is empty. Items are read in blocks of MAX_ITEMS.
+    are searched each; a very long text is searched whole, by passages; other columns are ignored. Without documents or items
+    the result is empty. However many items there are, the documents are read once.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     listed = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     n_blocks = max(1, math.ceil(listed.count() / MAX_ITEMS))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    out = spark.createDataFrame([], _HITS)
-    for k in range(n_blocks):
-        # About MAX_ITEMS items, whatever the size of the benchmark.
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in listed.where(block == k).orderBy("item_id", "text").collect()]))
-
-        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ix = index.value
-            for b in batches:
-                rows = [(d, ix.ids[i], *x) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for i, x in ix.search(t.as_py(), least, overlap).items()]
+    # Each about MAX_ITEMS items, whatever the size of the benchmark.
+    indexes = [spark.sparkContext.broadcast(Index([tuple(r) for r in listed.where(block == k).orderBy("item_id", "text").collect()])) for k in range(n_blocks)]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, held in _together(batches, 0 if n_blocks == 1 else TOGETHER):
+            for index in indexes:
+                ix = index.value
+                rows = [(d, ix.ids[i], *x) for d, t in zip(ids, held) for i, x in ix.search(t, least, overlap).items()]
+                if n_blocks > 1:  # one index in memory at a time
+                    del ix, index._value
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in _HITS.split(", ")])
 
-        found = texts.mapInArrow(search, _HITS)
-        out = found if n_blocks == 1 else out.unionByName(found)
-    return out
+    return texts.mapInArrow(search, _HITS)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -149,6 +149,16 @@ def test_decontamination_finds_planted_items(spark):
     assert want and want <= found and len(found - want) <= 2
 
 
+def test_items_in_several_indexes(spark, monkeypatch):
+    items, docs = (spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("benchmark", "documents"))
+    key = lambda rows: sorted((r.doc_id, r.item_id, r.passage_word, round(r.answer_overlap, 9)) for r in rows)
+    whole = key(r for r in decontaminate.find_contaminated(docs, items).collect() if r.question_overlap == r.answer_overlap == 1)
+    monkeypatch.setattr(decontaminate, "MAX_ITEMS", 40)
+    monkeypatch.setattr(decontaminate, "TOGETHER", 20_000)
+    parts = key(r for r in decontaminate.find_contaminated(docs, items).collect() if r.question_overlap == r.answer_overlap == 1)
+    assert whole and [x[:2] for x in whole] == [x[:2] for x in parts]
+
+
 def test_nearest_recall(spark):
     v = spark.read.parquet(f"{DATA}/embeddings.parquet")
     got = {}
