@@ -33,6 +33,35 @@ def ratio(a: Column, b: Column) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
+#: Characters of a text whose places fit into one number.
+MASK_BITS = 62
+
+
+def masks(a: Column) -> Column:
+    """map<character, places>: a number with the bits of the places at which a, of at most MASK_BITS characters, has it."""
+
+    def of(chars: Column) -> Column:
+        bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+        places = lambda c: F.aggregate(F.transform(chars, lambda x, i: F.when(x == c, bit(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, v: s.bitwiseOR(v))
+        return F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, places(c))))
+
+    return let(F.filter(F.split(a, ""), lambda x: x != ""), of)
+
+
+def masked_ratio(a: Column, a_masks: Column, b: Column) -> Column:
+    """ratio(a, b), with the masks of a made beforehand: one step a character of b, all of a at once, for an a of at most MASK_BITS
+    characters; ratio itself for a longer one."""
+    full = (1 << MASK_BITS) - 1
+
+    def step(v: Column, ch: Column) -> Column:
+        return let(v.bitwiseAND(F.coalesce(F.try_element_at(a_masks, ch), F.lit(0).cast("long"))), lambda met: (v + met).bitwiseOR(v - met).bitwiseAND(F.lit(full)))
+
+    end = F.aggregate(F.filter(F.split(b, ""), lambda x: x != ""), F.lit(full), step)
+    common = MASK_BITS - F.bit_count(end)
+    both = F.length(a) + F.length(b)
+    return F.when(both == 0, 100.0).when(F.length(a) <= MASK_BITS, 200.0 * common / both).otherwise(ratio(a, b))
+
+
 def sort_tokens(c: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(c, r"\s+"), lambda x: x != "")), " ")
 

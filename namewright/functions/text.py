@@ -122,3 +122,24 @@ def emails_in(text: Column, k: int = 3) -> Column:
 
 def ratio_or_zero(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+
+def ascii_lower(c: Column) -> Column:
+    """Only A-Z are lower-cased; every other letter stays as it is."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def to_json_list(c: Column) -> Column:
+    """A list of tokens or ids as JSON text."""
+    return F.to_json(c)
+
+
+def from_json_list(c: Column, of: str = "string") -> Column:
+    """The list that to_json_list wrote; null for what isn't a list of that type."""
+    return F.from_json(c, f"array<{of}>")
+
+
+def domain_by(email: Column, mode: str = "any") -> Column:
+    """The two pattern forms of a domain, in their own case: all after the first @ (any), or its letters, digits, dots and hyphens
+    only (plain). Null without a match."""
+    return F.nullif(F.regexp_extract(email, "@(.+)$" if mode == "any" else r"@([a-zA-Z0-9.\-]+)", 1), F.lit(""))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import names, tokens
 from .features import feature_rows
 from .rank import Scorer, WeightedScorer, top_k
-from .resolve import resolve
+from .resolve import resolve_domains
 from .split import is_complex
 
 
 def predict(requests: DataFrame, candidates: DataFrame, firm_map: DataFrame, usage: DataFrame, canonical: DataFrame | None = None, scorer: Scorer | None = None,
-            top: int = 3, filter_before_topk: bool = False, complex_candidates: DataFrame | None = None, complex_scorer: Scorer | None = None) -> DataFrame:
+            top: int = 3, filter_before_topk: bool = False, complex_candidates: DataFrame | None = None, complex_scorer: Scorer | None = None, cache: DataFrame | None = None) -> DataFrame:
     """requests (id, investor, firm, domain) -> (id, rank, email, score, template_id, verified).
 
     A null domain is resolved from the firm's name. Names with structure beyond first and last go to the complex templates
@@ -23,7 +23,7 @@ def predict(requests: DataFrame, candidates: DataFrame, firm_map: DataFrame, usa
     scorer = scorer or WeightedScorer()
     r = requests
     if canonical is not None:
-        found = resolve(r.where("domain is null").select(F.col("firm").alias("raw_firm")), canonical, threshold=0.0)
+        found = resolve_domains(r.where("domain is null").select(F.col("firm").alias("raw_firm")), canonical, cache)
         r = r.join(found.select(F.col("raw_firm").alias("firm"), F.col("domain").alias("resolved")), "firm", "left").withColumn("domain", F.coalesce("domain", "resolved")).drop("resolved")
     flagged = names.add_name_flags(r.withColumn("firm", F.lower("firm")), profile="serve")
     flagged = flagged.join(firm_map.select("firm", "is_shared_infra", "firm_is_multi_domain"), "firm", "left").na.fill(False, ["is_shared_infra", "firm_is_multi_domain"])
@@ -46,3 +46,31 @@ def predict_one(spark: SparkSession, investor: str, firm: str, domain: str | Non
     return [{"email": x.email, "confidence": x.score} for x in predict(one, **tables).orderBy("rank").collect()]
 
 
+def by_verification(predictions: DataFrame, scores: DataFrame) -> DataFrame:
+    """predictions (id, email, score) with the verification score of each address (email, verification; null without one), the
+    surest first within an id, ties by their own score and the address."""
+    return predictions.join(scores, "email", "left").orderBy("id", F.desc_nulls_last("verification"), F.desc("score"), "email")
+
+
+class Predictor:
+    """The serving surface over loaded tables: one request, or a batch of them."""
+
+    def __init__(self, spark: SparkSession, **tables):
+        self.spark, self.tables = spark, tables
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Predictor:
+        from ..sources.tables import load_snapshot
+        from .templates import firm_template_usage
+
+        t = load_snapshot(spark, path)
+        return cls(
+            spark, candidates=t["std_candidates"], complex_candidates=t["complex_candidates"], firm_map=t["firm_template_map"], usage=firm_template_usage(t["firm_template_map"]),
+            canonical=t["canonical_firms"], cache=t["firm_match_cache"],
+        )
+
+    def predict(self, investor: str, firm: str, domain: str | None = None) -> list[dict]:
+        return predict_one(self.spark, investor, firm, domain, **self.tables)
+
+    def predict_batch(self, requests: DataFrame, **options) -> DataFrame:
+        return predict(requests, **self.tables, **options)

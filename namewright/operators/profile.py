@@ -26,7 +26,7 @@ def firm_profile(df: DataFrame, firm_map: DataFrame, firms: DataFrame | None = N
 def nested_profiles(profile: DataFrame, firm_map: DataFrame) -> DataFrame:
     """One row a firm: flags, num_investors and templates as array<struct<template_id, weight, flag_probs>>."""
     probs = F.create_map(*[x for f in NAME_FLAGS for x in (F.lit(f), F.col(f"p_{f}"))])
-    nested = profile.groupBy("firm").agg(F.array_sort(F.collect_list(F.struct("template_id", "weight"))).alias("templates"), F.collect_list(F.struct("template_id", probs.alias("flag_probs"))).alias("probabilities"))
+    nested = profile.groupBy("firm").agg(F.array_sort(F.collect_list(F.struct("template_id", "weight"))).alias("templates"), F.transform(F.array_sort(F.collect_list(F.struct("template_id", F.to_json(probs).alias("flag_probs")))), lambda x: F.struct(x["template_id"].alias("template_id"), F.from_json(x["flag_probs"], "map<string,double>").alias("flag_probs"))).alias("probabilities"))
     return nested.join(firm_map.select("firm", "is_shared_infra", "firm_is_multi_domain", "num_investors"), "firm", "left")
 
 

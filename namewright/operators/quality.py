@@ -91,3 +91,15 @@ def career_moves(df: DataFrame, person: str = "investor", firm: str = "firm") ->
     """Rows of persons with several rows, each at another firm."""
     once = df.groupBy(person).agg(F.count("*").alias("n"), F.countDistinct(firm).alias("firms")).where("n > 1 and n = firms")
     return df.join(once.select(person), person, "left_semi")
+
+
+def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of each key in the given order, by one aggregation."""
+    rest = [c for c in df.columns if c != key]
+    first = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first"))
+    return first.select(*[F.col(c) if c == key else F.col(f"first.`{c}`").alias(c) for c in df.columns])
+
+
+def shared_keys(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
+    """Keys that both have: none if the two are disjoint."""
+    return a.select(key).intersect(b.select(key))

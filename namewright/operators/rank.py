@@ -88,3 +88,92 @@ def ablation(matrix: DataFrame, groups: dict[str, list[str]], fit) -> dict[str,
 def rank_decay(predictions: DataFrame) -> DataFrame:
     """Scores 1 - 0.1 x place (from 0), for predictions that come ranked without a score."""
     return predictions.withColumn("score", 1 - 0.1 * F.col("place"))
+
+
+def named_failures(failures: DataFrame, candidates: DataFrame) -> DataFrame:
+    """failures (clean_row_id, expected_id, predicted_id) with both templates, rendered; null where an id has none."""
+    named = lambda alias: candidates.select(F.col("template_id").alias(f"{alias}_id"), F.array_join("template", " ").alias(f"{alias}_template"))
+    return failures.join(named("expected"), "expected_id", "left").join(named("predicted"), "predicted_id", "left").select("clean_row_id", "expected_id", "expected_template", "predicted_id", "predicted_template")
+
+
+def run_summary(runs: DataFrame, k: int = 3) -> DataFrame:
+    """One row of runs (latency_ms, rank of the right answer or null): requests, mean latency, accuracy at 1, recall at k."""
+    within = lambda n: F.avg(F.coalesce((F.col("rank") <= n).cast("double"), F.lit(0.0)))
+    return runs.agg(F.count("*").alias("requests"), F.avg("latency_ms").alias("mean_latency_ms"), within(1).alias("acc_at_1"), within(k).alias("recall_at_k"))
+
+
+def write_failures(scored: DataFrame, path: str, k: int = 3) -> None:
+    """The report of groups without a hit among the first k, as CSV."""
+    failed_groups(scored, k).write.mode("overwrite").csv(path, header=True)
+
+
+class PairwiseScorer:
+    """A linear ranking by the pairwise logistic objective: within each group the positive should score above every other row.
+
+    Features are scaled to unit variance; after each round of iterations the gain on the validation groups is measured, and the
+    fit stops when `patience` rounds haven't raised it, keeping the best.
+    """
+
+    def __init__(self, weights: dict[str, float], rounds: int, ndcg: float):
+        self.weights, self.rounds, self.ndcg = weights, rounds, ndcg
+
+    @classmethod
+    def fit(cls, train: DataFrame, val: DataFrame, features: list[str], group: str = "clean_row_id", steps: tuple[int, ...] = (2, 5, 10, 20, 40), patience: int = 2) -> PairwiseScorer:
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.feature import VectorAssembler
+
+        clean = train.na.fill(0.0, features)
+        spread = clean.agg(*[F.stddev_samp(f).alias(f) for f in features]).first()
+        unit = {f: spread[f] or 1.0 for f in features}
+        positive = clean.where("label = 1").select(group, *[F.col(f).alias(f"p_{f}") for f in features])
+        pairs = clean.where("label = 0").join(positive, group)
+        # Either order of a pair, by a hash, so that both classes are there.
+        sign = F.when(F.pmod(F.xxhash64(group, "template_id"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+        pairs = pairs.select((sign > 0).cast("double").alias("y"), *[(sign * (F.col(f"p_{f}") - F.col(f)) / unit[f]).alias(f) for f in features])
+        x = VectorAssembler(inputCols=features, outputCol="x").transform(pairs).select("x", "y")
+        best, waited = None, 0
+        for n in steps:
+            m = LogisticRegression(featuresCol="x", labelCol="y", fitIntercept=False, maxIter=n, regParam=1e-4).fit(x)
+            made = cls({f: float(w) / unit[f] for f, w in zip(features, m.coefficients)}, n, 0.0)
+            made.ndcg = ranking_metrics(made.score(val)).first()["ndcg_at_k"]
+            best, waited = (made, 0) if best is None or made.ndcg > best.ndcg + 1e-9 else (best, waited + 1)
+            if waited >= patience:
+                break
+        return best
+
+    def score(self, matrix: DataFrame) -> DataFrame:
+        total: Column = F.lit(0.0)
+        for f, w in self.weights.items():
+            total = total + F.lit(w) * F.coalesce(F.col(f), F.lit(0.0))
+        return matrix.withColumn("score", F.round(total, 9))
+
+    def importances(self) -> list[tuple[str, float]]:
+        return sorted(((f, abs(w)) for f, w in self.weights.items()), key=lambda x: (-x[1], x[0]))
+
+
+def train_two(std: tuple[DataFrame, DataFrame], hard: tuple[DataFrame, DataFrame], features: list[str], fit=PairwiseScorer.fit) -> dict[str, Scorer]:
+    """The models of standard and of complex names, each from (train, val)."""
+    return {"standard": fit(*std, features), "complex": fit(*hard, features)}
+
+
+def search_parameters(train: DataFrame, val: DataFrame, fit, grid: list[dict]) -> list[tuple[dict, float]]:
+    """(parameters, NDCG on val) of every entry of the grid, the best first; fit(train, **parameters) gives a Scorer."""
+    runs = [(p, ranking_metrics(fit(train, **p).score(val)).first()["ndcg_at_k"]) for p in grid]
+    return sorted(runs, key=lambda x: -x[1])
+
+
+def importances(scorer: ModelScorer) -> list[tuple[str, float]]:
+    """Features of a fitted model by importance, or by the size of their coefficient."""
+    m = scorer.model
+    values = m.featureImportances if hasattr(m, "featureImportances") else m.coefficients
+    return sorted(((f, abs(float(v))) for f, v in zip(scorer.features, values.toArray())), key=lambda x: (-x[1], x[0]))
+
+
+def failure_regression(rows: DataFrame, flags: list[str], failed: str = "failed") -> list[tuple[str, float]]:
+    """(flag, coefficient) of a logistic regression of failure on boolean columns; the intercept comes first."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    x = rows.select(F.col(failed).cast("double").alias("y"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in flags])
+    m = LogisticRegression(featuresCol="x", labelCol="y").fit(VectorAssembler(inputCols=flags, outputCol="x").transform(x))
+    return [("intercept", float(m.intercept)), *((f, float(c)) for f, c in zip(flags, m.coefficients))]

@@ -60,3 +60,21 @@ def bootstrap(df: DataFrame, times: int, firms: DataFrame, seed: int = 42) -> Da
     rows = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times)))).join(F.broadcast(k), F.lit(True))
     drawn = rows.withColumn("number", F.pmod(F.conv(F.substring(shuffle_key(F.concat_ws(":", "id", "copy"), seed), 1, 7), 16, 10).cast("long"), F.col("k")))
     return drawn.drop("firm", "k").join(firms, "number").drop("number")
+
+
+def balanced_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n rows of the contacts with complex names and n of the others, by shuffled id."""
+    std, hard = complexity_split(df)
+    return sample_rows(std, n, seed).unionByName(sample_rows(hard, n, seed))
+
+
+def share_split(df: DataFrame, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
+    """(id, split): train, val or test by shuffled id, each row by itself."""
+    at = F.conv(F.substring(shuffle_key("id", seed), 1, 7), 16, 10).cast("long")
+    return df.select("id", F.when(at < int(train * 16**7), "train").when(at < int((train + val) * 16**7), "val").otherwise("test").alias("split"))
+
+
+def train_ids(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """Ids of rows, synthetic ones included, that are neither in val nor in test."""
+    held = splits.where("split IN ('val', 'test')").select("id")
+    return rows.select("id").join(held, "id", "left_anti")

@@ -75,3 +75,15 @@ def firm_template_usage(firm_map: DataFrame) -> DataFrame:
         "firm", "template_id", "support_count", (F.col("support_count") / F.sum("support_count").over(w)).alias("coverage_pct"),
         (F.col("support_count") == F.max("support_count").over(w)).alias("is_top_template"),
     )
+
+
+def in_id_order(candidates: DataFrame) -> DataFrame:
+    return candidates.orderBy("template_id")
+
+
+def firm_template_strings(firm_map: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(firm, templates): the distinct templates of each firm, rendered, in the order of their ids."""
+    listed = firm_map.select("firm", F.explode(F.array_distinct("template_ids")).alias("template_id"))
+    named = listed.join(candidates.select("template_id", F.array_join("template", " ").alias("template")), "template_id")
+    # No more items to a firm than there are templates.
+    return named.groupBy("firm").agg(F.transform(F.array_sort(F.collect_list(F.struct("template_id", "template"))), lambda x: x["template"]).alias("templates"))

@@ -174,14 +174,8 @@ def ascii_variants(spark, sf):
     return v.select(*[F.col("v")[i].alias(n) for i, n in enumerate(("original", "german", "nfkd", "both"))])
 
 
-@query(f"SELECT doc_id, {_NFKD_SQL.format('substr(text, 1, 200)')} AS plain FROM documents WHERE lang IN ('es', 'fr')")
+@query(f"SELECT doc_id, {_NFKD_SQL.format('text')} AS plain FROM documents")
 def nfkd_documents(spark, sf):
-    return table(spark, sf, "documents").where("lang IN ('es', 'fr')").select("doc_id", text.nfkd_ascii(F.substring("text", 1, 200)).alias("plain"))
-
-
-@query(None)
-def nfkd_documents_all(spark, sf):
-    """nfkd_documents over the whole text of every document; its SQL has 200 characters of two languages."""
     return table(spark, sf, "documents").select("doc_id", text.nfkd_ascii(F.col("text")).alias("plain"))
 
 
@@ -245,16 +239,11 @@ def token_sort_ratio(spark, sf):
     return values(spark, ("a", "b"), _FIRM_NAMES).withColumn("score", r6(similarity.token_sort_ratio(F.col("a"), F.col("b"))))
 
 
-@query(f"SELECT id, round(200.0 * {_LCS} / (length(a) + length(b)), 6) AS score FROM (SELECT id, firm AS a, site AS b FROM parts_l WHERE id % 4 = 1)", CONTACTS_SQL)
+@query(
+    f"SELECT id, score FROM parts_l JOIN (SELECT a, b, round(200.0 * {_LCS} / (length(a) + length(b)), 6) AS score FROM (SELECT DISTINCT firm AS a, site AS b FROM parts_l)) ON firm = a AND site = b",
+    CONTACTS_SQL,
+)
 def firm_site_ratio(spark, sf):
-    c = carrier.contacts(spark, sf).where("id % 4 = 1").withColumn("site", F.substring(F.regexp_extract("website", "//WWW\\.([^/]+)", 1), 1, 100))
-    pairs = c.select("firm", "site").distinct().withColumn("score", r6(similarity.ratio(F.col("firm"), F.col("site"))))
-    return c.join(pairs, ["firm", "site"]).select("id", "score")
-
-
-@query(None)
-def firm_site_ratio_all(spark, sf):
-    """firm_site_ratio over all contacts and whole sites; its SQL has a quarter of them."""
     c = carrier.contacts(spark, sf).withColumn("site", F.regexp_extract("website", "//WWW\\.([^/]+)", 1))
     pairs = c.select("firm", "site").distinct().withColumn("score", r6(similarity.ratio(F.col("firm"), F.col("site"))))
     return c.join(pairs, ["firm", "site"]).select("id", "score")
@@ -822,3 +811,6 @@ def windowed_counts(spark, sf):
 @query("SELECT user_id, count(*) AS n_sessions, sum(n)::BIGINT AS n_events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN ts - before < INTERVAL 5 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)) GROUP BY user_id, s) GROUP BY user_id")
 def user_sessions(spark, sf):
     return events.sessions(table(spark, sf, "events")).groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_events"))
+
+
+from . import catalog_rest  # noqa: E402,F401  registers the other queries

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,23 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.flag_multi_domain(quality.flag_shared_domain(d))
 
 
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def _kept(make):
+    """make's table, kept by the executors for as long as the application runs, so that the queries that need it share the
+    tokenizing and numbering, and the branches of one plan too. What doesn't fit in memory goes to disk."""
+
+    def table(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, make.__name__, sf_dir)
+        if key not in _KEPT:
+            _KEPT[key] = make(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        return _KEPT[key]
+
+    return table
+
+
+@_kept
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean contacts with token_seq and flags by id, as the names have no structure of their own."""
     return templates.encode_contacts(clean(spark, sf_dir)).withColumns({f: F.col("id") % m == 0 for f, m in FLAG_MODULI.items()})
@@ -48,6 +66,7 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.array(F.lit(a)).alias("lhs"), F.array(F.lit(b)).alias("rhs"), F.lit(c).alias("confidence")) for a, b, c in RULES])))
 
 
+@_kept
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.number_templates(templates.enrich_templates(encoded(spark, sf_dir), rules(spark)))
 
@@ -56,6 +75,7 @@ def identified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.with_template_id(encoded(spark, sf_dir), candidates(spark, sf_dir))
 
 
+@_kept
 def firm_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.firm_template_map(identified(spark, sf_dir))
 

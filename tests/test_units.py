@@ -78,7 +78,7 @@ def test_resolver(spark):
     raw = one(spark, "raw_firm string", [("Blacstone",), ("GOLDMAN SACHS",), ("nobody here",), ("cached one",), (None,)])
     cache = one(spark, "raw_firm string, canonical_firm string, domain string, match_score int", [("cached one", "blackstone", "blackstone.com", 90)])
     got = {r.raw_firm: (r.firm, r.domain, round(r.score, 1) if r.score else None) for r in resolve.resolve(raw, firms, cache).collect()}
-    assert got == {"Blacstone": ("blackstone", "blackstone.com", 94.7), "GOLDMAN SACHS": ("goldman sachs", "gs.com", 100.0), "nobody here": (None, None, None), "cached one": ("blackstone", "blackstone.com", 90.0)}
+    assert got == {"Blacstone": ("blackstone", "blackstone.com", 94.7), "GOLDMAN SACHS": ("goldman sachs", "gs.com", 100.0), "nobody here": (None, None, 19.0), "cached one": ("blackstone", "blackstone.com", 90.0)}
     assert resolve.resolve(raw, firms.limit(0)).where("firm is not null").count() == 0
     contacts = one(spark, "firm string, email string", [("b", "x@b.com"), ("b", "x@a.com"), ("c", "y@c.com"), ("c", "z@c.com"), ("c", "z@d.com")])
     assert {tuple(r) for r in resolve.canonical_firms(contacts).collect()} == {("b", "a.com"), ("c", "c.com")}

@@ -33,12 +33,12 @@ def test_match_cache_has_all_firms(spark):
 def test_firm_site_ratio_of_all_contacts(spark):
     rows = contacts.contacts(spark, DATA).collect()
     want = {r.id: round(ratio(r.firm, r.website.split("//WWW.")[1].split("/")[0]), 6) for r in rows}
-    got = catalog.QUERIES["firm_site_ratio_all"](spark, DATA).collect()
+    got = catalog.QUERIES["firm_site_ratio"](spark, DATA).collect()
     assert len(got) == len(rows) and all(abs(r.score - want[r.id]) < 1e-6 for r in got)
 
 
 def test_nfkd_of_whole_documents(spark):
     rows = spark.read.parquet(f"{DATA}/documents.parquet").collect()
-    got = {r.doc_id: r.plain for r in catalog.QUERIES["nfkd_documents_all"](spark, DATA).collect()}
+    got = {r.doc_id: r.plain for r in catalog.QUERIES["nfkd_documents"](spark, DATA).collect()}
     plain = lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()
     assert got == {r.doc_id: None if r.text is None else plain(r.text) for r in rows}
