@@ -28,7 +28,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 #: Files of a written table: so many a core, or one for so many bytes if that is more.
-FILES_PER_CORE, FILE_BYTES = 4, 64 << 20
+FILES_PER_CORE, FILE_BYTES = 4, 32 << 20
 
 
 def few_files(df: DataFrame, like: DataFrame | None = None, files: int | None = None) -> DataFrame:

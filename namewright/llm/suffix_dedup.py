@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_by_counts, stage_table, table
+from .common import drop_staged, join_by_counts, stage_table, table
 
 WIDTH, GRAM = 200, 64
 REACH = WIDTH - GRAM  # an anchor starts at most so many bytes after its window
@@ -258,14 +258,31 @@ def _decoded(prefixes: bytes, lengths: bytes, rests: bytes, lefts: bytes, places
         at, left_at = at + m, left_at + k
 
 
+def _compare(flat: np.ndarray, a: np.ndarray, b: np.ndarray, right: np.ndarray, at: np.ndarray) -> None:
+    """Sets right, for the pairs at, to whether the windows that start at a and b are equal."""
+    span = np.arange(WIDTH)
+    for i in range(0, len(at), 20_000):
+        x = at[i : i + 20_000]
+        right[x] = (flat[a[x][:, None] + span] == flat[b[x][:, None] + span]).all(axis=1)
+
+
 def equal_windows(flat: np.ndarray, starts: np.ndarray, same: np.ndarray) -> np.ndarray:
     """Which of the windows of flat, in the order of their digests, equal another one byte for byte; same: whether a window's
     digest is also that of the next."""
-    equal, span = same.copy(), np.arange(WIDTH)
-    pairs = np.flatnonzero(same)
-    for at in range(0, len(pairs), 20_000):
-        x = pairs[at : at + 20_000]
-        equal[x] = (flat[starts[x][:, None] + span] == flat[starts[x + 1][:, None] + span]).all(axis=1)
+    equal, pairs = same.copy(), np.flatnonzero(same)
+    a, b = starts[pairs], starts[pairs + 1]
+    # Where the windows one byte before are a pair too, and equal, only the last byte is new.
+    order = np.lexsort((a, b - a))
+    a, b = a[order], b[order]
+    follows = np.zeros(len(a), bool)
+    follows[1:] = (np.diff(a) == 1) & (np.diff(b) == 1)
+    right = np.empty(len(a), bool)
+    right[follows] = flat[a[follows] + WIDTH - 1] == flat[b[follows] + WIDTH - 1]
+    _compare(flat, a, b, right, np.flatnonzero(~follows))
+    chain = np.cumsum(~follows)
+    broken = np.isin(chain, chain[~right])
+    _compare(flat, a, b, right, np.flatnonzero(broken))
+    equal[pairs[order]] = right
     hit = np.zeros(len(starts), bool)
     hit[1:] |= equal
     hit[:-1] |= equal
@@ -381,6 +398,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     # One document's anchors.
     mine = counted.groupBy("row").agg(F.collect_list(F.struct("h", "places", (F.col("in_all") > HOT).alias("hot"))).alias("found"), F.sum(n).alias("n"))
     mine = stage_table(mine, "anchors", like=places)
+    drop_staged(places)
     n_shards = max(4, math.ceil((mine.agg(F.sum("n")).first()[0] or 0) / SHARD_SUFFIXES))
     runs = packed.join(mine.hint("merge"), "row").select("row", "packed", "found").mapInArrow(_suffix_runs(n_shards), _RUN)
     runs = stage_table(runs, "runs", like=docs)

@@ -115,6 +115,21 @@ def test_equal_windows_with_one_digest():
     assert suffix_dedup.equal_windows(flat, starts, same).tolist() == [True, False, True, False, True, True, False]
 
 
+def test_equal_windows_in_chains():
+    rng = np.random.default_rng(4)
+    base = rng.integers(97, 123, 500).astype(np.uint8)
+    other = base.copy()
+    other[300] = 0
+    flat = np.concatenate([base, other, base])
+    # Windows at 0 to 300 of the three, with the digest of their offset.
+    starts = np.concatenate([[i, 500 + i, 1000 + i] for i in range(301)])
+    same = np.array([x % 3 < 2 for x in range(len(starts) - 1)])
+    got = suffix_dedup.equal_windows(flat, starts, same).reshape(-1, 3)
+    strings = [flat[i : i + 200].tobytes() for i in starts.tolist()]
+    want = [[strings[3 * i : 3 * i + 3].count(w) > 1 for w in strings[3 * i : 3 * i + 3]] for i in range(301)]
+    assert got.tolist() == want and not got[:, 1].all() and got[:, 0].all()
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for _ in range(100):
