@@ -34,8 +34,11 @@ def predict(requests: DataFrame, candidates: DataFrame, firm_map: DataFrame, usa
         hard = (complex_scorer or scorer).score(feature_rows(flagged.where(is_complex()), complex_candidates, firm_map, usage, "serve", False))
         scored = plain.unionByName(hard.join(F.broadcast(complex_candidates.select("template_id", "template")), "template_id"))
     scored = scored.select("clean_row_id", "investor", "template_id", "template", "score")
-    made = scored.withColumn("local", tokens.render(F.col("template"), names.decompose_serve(F.col("investor"))))
-    best = top_k(made.where("local is not null") if filter_before_topk else made, top).where("local is not null")
+    local = tokens.render(F.col("template"), names.decompose_serve(F.col("investor")))
+    if filter_before_topk:
+        best = top_k(scored.withColumn("local", local).where("local is not null"), top)
+    else:  # only the best are rendered
+        best = top_k(scored, top).withColumn("local", local).where("local is not null")
     out = best.join(r.select(F.col("id").alias("clean_row_id"), "domain"), "clean_row_id")
     return out.select(F.col("clean_row_id").alias("id"), F.col("rank").cast("long").alias("rank"), F.concat("local", F.lit("@"), "domain").alias("email"), "score", "template_id", F.lit(None).cast("boolean").alias("verified"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity
 from ..functions.text import domain_of
+from ..sources.tables import numbered_rows
 
 
 def firm_domain_counts(df: DataFrame) -> DataFrame:
@@ -136,9 +137,9 @@ def seed_sql(seeds: DataFrame, batch: int = 5000) -> DataFrame:
 
 
 def seed_firm_domains(df: DataFrame) -> DataFrame:
-    """(firm_id, firm, domain): firms numbered by name, with their distinct domains. One row a firm is numbered."""
+    """(firm_id, firm, domain): firms numbered by name, with their distinct domains."""
     pairs = df.withColumn("domain", domain_of(F.col("email"))).where("firm is not null and domain is not null").select("firm", "domain").distinct()
-    ids = pairs.select("firm").distinct().withColumn("firm_id", F.row_number().over(Window.orderBy("firm")).cast("long"))
+    ids = numbered_rows(pairs.select("firm").distinct(), ["firm"], "firm_id")
     return pairs.join(ids, "firm").select("firm_id", "firm", "domain")
 
 

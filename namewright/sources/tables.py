@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -114,8 +115,9 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str] | No
 
 def numbered_rows(df: DataFrame, order: list[str], name: str = "id", start: int = 1) -> DataFrame:
     """df with numbers from start in the given order: ranges of the order are counted, and each row is numbered within its range,
-    so that no task has more than a range. Equal rows come in any order."""
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    so that no task has more than a range. Equal rows come in any order. The ranges are kept by the executors, as drawing them
+    twice might give others."""
+    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     w = Window.partitionBy("__part").orderBy(*order)
     # A row a range.
     shift = parts.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__shift", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n"))
