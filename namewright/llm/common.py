@@ -97,6 +97,43 @@ def ascii_lower(c: Column) -> Column:
     return F.lower(F.replace(c, F.lit("\u212a"), F.lit("\u0138")))
 
 
+def frugal(f):
+    """f, a function of Arrow batches or tables, that leaves no freed memory with its worker: workers serve many tasks, and
+    those of later stages would be held on top of it."""
+    import functools
+    import inspect
+
+    def release() -> None:
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def run(batches):
+            yield from f(batches)
+            release()
+
+    elif len(inspect.signature(f).parameters) == 3:
+
+        @functools.wraps(f)
+        def run(key, left, right):
+            out = f(key, left, right)
+            release()
+            return out
+
+    else:
+
+        @functools.wraps(f)
+        def run(group):
+            out = f(group)
+            release()
+            return out
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

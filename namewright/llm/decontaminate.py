@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, drop_without, stage_table, table
+from .common import LOWER, UPPER, drop_without, frugal, stage_table, table
 
 MAX_ITEMS = 20_000
 #: Characters of texts held while one index after the other is loaded, where there are several.
@@ -176,7 +176,7 @@ def find_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, ove
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in _HITS.split(", ")])
 
-    return texts.mapInArrow(search, _HITS)
+    return texts.mapInArrow(frugal(search), _HITS)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

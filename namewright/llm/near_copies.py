@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, drop_without, few_files, join_by_counts, keep_within, stage_table
+from .common import LOWER, UPPER, drop_without, few_files, frugal, join_by_counts, keep_within, stage_table
 from .components import components
 from .simhash import majority, near_links
 
@@ -74,8 +74,10 @@ def bands(s: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingles(t.as_py()) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(node, sets), pa.int64()), pa.array(map(majority, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))], ["doc_id", "node", "fp", "bands"])
+        for at in range(0, b.num_rows, 512):
+            ids, texts = (c.slice(at, 512) for c in b.columns)
+            sets = [shingles(t.as_py()) for t in texts]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(map(node, sets), pa.int64()), pa.array(map(majority, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))], ["doc_id", "node", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +139,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     are null. A null text counts as empty; texts without words are alike and link to no other. Rows with equal ids count each.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = stage_table(d.mapInArrow(_signed, "doc_id long, node long, fp long, bands array<long>"), "signatures", like=docs)
+    marked = stage_table(d.mapInArrow(frugal(_signed), "doc_id long, node long, fp long, bands array<long>"), "signatures", like=docs)
     nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.count("*").alias("n"))
     nodes = stage_table(nodes, "nodes", like=marked)
     # Texts with words: by fingerprint the smallest node, and what is within 2 bits of it.
@@ -156,8 +158,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     if clusters.where("first is null").limit(1).count():
         texts = texts.unionAll(d.where("doc_id is null"))
     # An id may have other texts as well, and texts without id may be equal: one row a node.
-    sets = texts.mapInArrow(_sets, "node long, hashes array<long>").join(clusters.select("node", "cluster"), "node").dropDuplicates(["node"])
-    parts = stage_table(sets.groupBy("cluster").applyInArrow(_verify, "node long, root long"), "parts", like=clusters).join(nodes.select("node", "first"), "node")
+    sets = texts.mapInArrow(frugal(_sets), "node long, hashes array<long>").join(clusters.select("node", "cluster"), "node").dropDuplicates(["node"])
+    parts = stage_table(sets.groupBy("cluster").applyInArrow(frugal(_verify), "node long, root long"), "parts", like=clusters).join(nodes.select("node", "first"), "node")
     least = parts.groupBy("root").agg(F.min("first").alias("least"))
     named = parts.join(least, "root").select("node", "least")
     ids = stage_table(nodes.join(named, "node", "left").select("node", "n", F.coalesce("least", "first").alias("component_id")), "named", like=nodes)

@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_without, keep_within, stage_table, table
+from .common import drop_without, frugal, keep_within, stage_table, table
 
 ORDER, BITS = 5, 8
 BEGIN, END, STUTTER, CAPITAL, DIGIT, RARE = range(6)
 _MARKS = b" \n.,;:!?'\"-()|%#&*$@/_=+<>[]"
 #: Symbols of texts in one block of arrays, and in one chunk, whose n-grams travel once.
-BLOCK, CHUNK = 1 << 20, 1 << 23
+BLOCK, CHUNK = 1 << 19, 1 << 23
 _LEVEL = 4
 
 
@@ -242,12 +242,12 @@ def perplexities(docs: DataFrame, training: DataFrame) -> DataFrame:
     log_ppl is null for an empty text. docs is read thrice and must give the same rows in the same order, as a stored table
     does; if it doesn't, the job fails rather than return other scores."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
-    asked = read.mapInArrow(_asked, "chunk long, code long")
-    counted = training.select(F.col("text").cast("string").alias("text")).mapInArrow(_counts, "code long, n long")
+    asked = read.mapInArrow(frugal(_asked), "chunk long, code long")
+    counted = training.select(F.col("text").cast("string").alias("text")).mapInArrow(frugal(_counts), "code long, n long")
     counts = stage_table(counted.unionByName(asked.select("code", F.lit(0).cast("long").alias("n"))).groupBy("code").agg(F.sum("n").alias("n")), "counts", like=docs)
     model = stage_table(probabilities(counts).select("code", F.log("p").cast("float").alias("logp")), "model", like=counts)
     given = asked.join(model, "code").select("chunk", "code", "logp")
-    return read.mapInArrow(_packed, _PACKED).groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(_summed, _SCORES)
+    return read.mapInArrow(frugal(_packed), _PACKED).groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(frugal(_summed), _SCORES)
 
 
 def thresholds(scores: DataFrame, quantile: float, steps: int = 2000, least: int = 200) -> DataFrame:
