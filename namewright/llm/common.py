@@ -45,10 +45,17 @@ def few_files(df: DataFrame, like: DataFrame | None = None, files: int | None =
 def stage_table(df: DataFrame, name: str, like: DataFrame | None = None, files: int | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder, in few_files, and reads it back: the lineage ends there, and a lost
     executor costs only the tasks it ran."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/namewright/{name}-{uuid.uuid4().hex}"
-    few_files(df, like, files).write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    return stage_parts([df], name, like, files)
+
+
+def stage_parts(parts: Iterable[DataFrame], name: str, like: DataFrame | None = None, files: int | None = None) -> DataFrame:
+    """Stages tables of one schema, at least one, as a single table, one after the other, so that parts from the driver needn't
+    be held together."""
+    path = None
+    for df in parts:
+        path = path or f"{scratch_dir(df.sparkSession).rstrip('/')}/namewright/{name}-{uuid.uuid4().hex}"
+        few_files(df, like, files).write.mode("append").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 

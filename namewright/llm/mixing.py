@@ -10,8 +10,8 @@ have run out hold half of the weights, the rest start a schedule of their own, s
 blocks. Sources of weight 0 come after all others, by equal weights. Every document is placed once: none is dropped or
 repeated to force the weights.
 
-Scale: the driver runs the schedule, linear in the blocks, of which there are at most about MAX_BLOCKS, and holds a few numbers
-a block. A document needs its rank in its
+Scale: the driver runs the schedule, linear in the blocks, and writes it in parts of PART_BLOCKS, so that it holds a few numbers
+a source and one part, whatever the number of blocks. Blocks are of one size for tables of any size. A document needs its rank in its
 source, by the digest of its id: ranks are counted over keys alone, within digest ranges of a bounded number of rows, and
 shifted by the ranges before, so a large source is spread over many tasks. A range gets the slots and positions of its blocks
 as arrays. Documents themselves are shuffled once, to meet their positions by row, and there is no global sort.
@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -28,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import few_files, numbered, stage_table, table
+from .common import few_files, numbered, stage_parts, stage_table, table
 
 FRAME, BLOCK_DOCS, ALPHA = 512, 8, 0.5
-#: The driver schedules no more blocks than about this; larger tables have larger blocks.
-MAX_BLOCKS = 1 << 20
+#: The driver holds so many blocks of the schedule at a time. Results don't depend on it.
+PART_BLOCKS = 1 << 18
 
 _EDF = """aggregate(sequence(0, cast(slots AS int) - 1),
   named_struct('k', transform(q, x -> 0L), 'o', cast(array() AS array<struct<i:int,k:array<bigint>>>)),
@@ -59,10 +61,10 @@ def schedule(sizes: DataFrame, frame: int = FRAME) -> DataFrame:
     )
 
 
-def whole_run(blocks: list[int], weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    """(source, slot) of every block in the order of slots, the source by its place in the lists."""
-    left, had = list(blocks), [0] * len(blocks)
-    sources, slots, offset = [], [], 0
+def run_in_parts(blocks: list[int], weights: list[float], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(source, slot) of every block in the order of slots, the source by its place in the lists, in parts of `most` blocks."""
+    left = list(blocks)
+    sources, slots, offset = array("q"), array("q"), 0
     while any(left):
         active = [i for i, n in enumerate(left) if n]
         # In whole numbers, without rounding.
@@ -85,23 +87,39 @@ def whole_run(blocks: list[int], weights: list[float]) -> tuple[np.ndarray, np.n
                     slots.append(offset + t)
                     left[i] -= 1
                     running -= 0 if left[i] else w[i]
+                    if len(sources) == most:
+                        yield np.array(sources, np.int64), np.array(slots, np.int64)
+                        sources, slots = array("q"), array("q")
             t += 1
         offset += t
-    return np.array(sources, np.int64), np.array(slots, np.int64)
+    if sources:
+        yield np.array(sources, np.int64), np.array(slots, np.int64)
+
+
+def whole_run(blocks: list[int], weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """run_in_parts as one part."""
+    return next(run_in_parts(blocks, weights, sum(blocks)), (np.array([], np.int64), np.array([], np.int64)))
 
 
-def _placed(sizes: DataFrame, block_docs: int) -> DataFrame:
-    """sizes (source, n, weight) -> source, nth (block of the source), slot, start (position of the block's first document)."""
+def _placed(sizes: DataFrame, block_docs: int) -> Iterator[DataFrame]:
+    """sizes (source, n, weight) -> source, nth (block of the source), slot, start (position of the block's first document), in
+    parts of PART_BLOCKS blocks."""
     # A row a source.
     rows = sorted(sizes.collect(), key=lambda r: r["source"].encode("utf-8", "surrogatepass"))
     n = np.array([r["n"] for r in rows], np.int64)
-    source, slot = whole_run((-(-n // block_docs)).tolist(), [r["weight"] for r in rows])
-    by = np.argsort(source, kind="stable")
-    nth = np.empty(len(source), np.int64)
-    nth[by] = np.arange(len(source)) - np.searchsorted(source[by], source[by])
-    held = np.minimum(block_docs, n[source] - nth * block_docs)
-    names = pa.array([r["source"] for r in rows], pa.string()).take(pa.array(source))
-    return sizes.sparkSession.createDataFrame(pa.table([names, pa.array(nth), pa.array(slot), pa.array(np.cumsum(held) - held)], ["source", "nth", "slot", "start"]))
+    names = pa.array([r["source"] for r in rows], pa.string())
+    had, start = np.zeros(len(rows), np.int64), 0
+    for source, slot in run_in_parts((-(-n // block_docs)).tolist(), [r["weight"] for r in rows], PART_BLOCKS):
+        by = np.argsort(source, kind="stable")
+        nth = np.empty(len(source), np.int64)
+        nth[by] = np.arange(len(source)) - np.searchsorted(source[by], source[by])
+        nth += had[source]
+        had += np.bincount(source, minlength=len(rows))
+        held = np.minimum(block_docs, n[source] - nth * block_docs)
+        end = start + np.cumsum(held)
+        part = pa.table([names.take(pa.array(source)), pa.array(nth), pa.array(slot), pa.array(end - held)], ["source", "nth", "slot", "start"])
+        yield sizes.sparkSession.createDataFrame(part)
+        start = int(end[-1])
 
 
 def _weights(sizes: DataFrame, weights: dict[str, float] | None, alpha: float) -> DataFrame:
@@ -117,7 +135,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     weights by source name; without them a source weighs its documents to the power alpha. A source without a weight,
     or with one of 0, comes after the others. A null source is a source of its own, mixed as the empty name (with documents that have that name).
     Documents of a source come in the order of the digest of seed and id, null ids as the empty string, equal ids next to each other in
-    any order. Blocks have block_docs documents, or as many more as it takes to have no more than MAX_BLOCKS. Columns mix_slot and mix_position of docs are replaced; an empty table gives an empty result.
+    any order. Blocks have block_docs documents. Columns mix_slot and mix_position of docs are replaced; an empty table gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("mix_slot", "mix_position")]
     source = F.coalesce(F.col("doc.source").cast("string"), F.lit(""))
@@ -127,9 +145,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     sizes = stage_table(keys.groupBy("source").agg(F.count("*").alias("n")), "sizes", like=keys)
     if not sizes.limit(1).count():
         return docs.select(*names, F.lit(0).cast("long").alias("mix_slot"), F.lit(0).cast("long").alias("mix_position"))
-    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
-    block_docs = max(block_docs, math.ceil(total / MAX_BLOCKS))
-    blocks = stage_table(_placed(_weights(sizes, weights, alpha), block_docs), "blocks", like=keys)
+    largest = sizes.agg(F.max("n")).first()[0]
+    blocks = stage_parts(_placed(_weights(sizes, weights, alpha), block_docs), "blocks", like=keys)
     n_ranges = max(1, math.ceil(largest / range_rows))
     in_range = lambda c: F.floor(F.conv(F.substring(c, 1, 8), 16, 10).cast("long") * n_ranges / (1 << 32))
     ranged = keys.withColumn("range", in_range(F.col("digest")))

@@ -27,3 +27,14 @@ def test_many_sources_keep_the_weights(spark):
     # A third of the slots, of which a frame of 512 rounded quotas gave 171 in 771.
     first = [r for r in got if r.mix_slot < 900]
     assert abs(sum(r.source == "a" for r in first) / 8 - 300) < 1
+
+
+def test_blocks_are_of_one_size_whatever_the_table(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"s{i * i % 7 % 5}") for i in range(3000)], "doc_id long, source string")
+    want = {r.doc_id: (r.mix_slot, r.mix_position) for r in mixing.mix(docs).collect()}
+    # The bound that larger tables had larger blocks for, and a schedule in many parts.
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 100, raising=False)
+    monkeypatch.setattr(mixing, "PART_BLOCKS", 7, raising=False)
+    got = mixing.mix(docs).collect()
+    assert {r.doc_id: (r.mix_slot, r.mix_position) for r in got} == want
+    assert max(Counter(r.mix_slot for r in got).values()) == mixing.BLOCK_DOCS
