@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +58,26 @@ def stage_parts(parts: Iterable[DataFrame], name: str, like: DataFrame | None =
         few_files(df, like, files).write.mode("append").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    give_back(out.sparkSession)
     return out
 
 
+def give_back(spark: SparkSession) -> str | None:
+    """Has the driver's JVM return the native memory that it has freed, and returns what the JVM says to it. The C library keeps
+    what compilers and short-lived threads free, and a run of many staged tables has many of both. JVMs without this command are
+    left as they are, and the result is None."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    # By the interface's method, as the server's class isn't open to reflection.
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    given = gateway.new_array(jvm.java.lang.Object, 4)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        return invoke.invoke(server, given)
+    except Py4JJavaError:
+        return None
+
+
 def drop_staged(df: DataFrame | None) -> None:
     """Deletes a staged table that no later result reads."""
     path = getattr(df, "_staged_path", None)
