@@ -5,10 +5,16 @@ either one segment is equal, or each differs by exactly one bit. The index there
 the 32 one-wildcard variants of the first (bit i left out). Buckets are equality groups of these 34 signatures:
 
 - a bucket of two is one candidate pair, verified on all 64 bits;
-- a larger bucket isn't paired up. Its members are dealt again by a variant of the other segment: the segment and its 32
-  one-bit neighbours where the first segments are equal, its 32 one-wildcard variants where they differ at the wildcard.
-  Either way two members of a dealt group differ by at most 2 bits, no linked pair is missed, and a group has at most 33
-  distinct fingerprints; each is verified against the group's smallest and linked to it.
+- in a bucket of up to LISTED members each is compared with the others, which are held as one list;
+- a larger bucket isn't paired up. In one of a whole segment the members are dealt again by the other segment and its 32
+  one-bit neighbours: two members of a dealt group differ by at most 2 bits, no linked pair is missed, and a group has at most
+  33 distinct fingerprints; each is verified against the group's smallest and linked to it. In one of a wildcard the members
+  of the rarer bit look for the 32 one-bit neighbours of their second segment among those of the other bit, where each has one
+  place; what they find is linked.
+
+A linked pair is looked for in one bucket only: those with an equal segment in that segment's, the others, which differ by one
+bit in each, in that of the wildcard in the first. So wildcard buckets whose members all have the same bit are left out: a
+large group around one fingerprint fills all 34 buckets, but most of its members aren't dealt again more than once.
 
 So work is linear in the distinct fingerprints, however many copies there are. Components come from components.py.
 
@@ -84,23 +90,56 @@ def _signatures(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*sigs)).alias("sig"), "fp")
 
 
+#: Most members of a bucket that are compared with each other: about half of them a member, as many as the rows of dealing it again.
+LISTED = 64
+#: From here on signatures leave out a bit.
+_WILD = 2 << 32
+
+
 def near_links(fps: DataFrame) -> DataFrame:
     """fps: distinct fp. Links (u, v), each verified, that connect all fingerprints at 2 or fewer differing bits."""
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 2
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= 2
     buckets = _signatures(fps).groupBy("sig").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
+    # The smallest and the largest have different first segments if the wildcard's bit is set in some only.
+    buckets = buckets.where((F.col("sig") < _WILD) | (F.shiftrightunsigned(F.col("u").bitwiseXOR(F.col("v")), 32) != 0))
     buckets = stage_table(buckets, "buckets", like=fps)
-    pairs = buckets.where("n = 2").where(near("u", "v")).select("u", "v")
-    many = _signatures(fps).join(buckets.where("n > 2").select("sig"), "sig")
-    tag = F.shiftrightunsigned("sig", 32)
+    links = buckets.where("n = 2").where(near(F.col("u"), F.col("v"))).select("u", "v")
+    several = stage_table(_signatures(fps).join(buckets.where("n > 2").select("sig", "n"), "sig"), "several", like=fps)
+    lists = several.where(F.col("n") <= LISTED).groupBy("sig").agg(F.collect_list("fp").alias("fps"))
+
+    def linked(v):
+        hi, lo = _segments(v.bitwiseXOR(F.col("u")))
+        return (v > F.col("u")) & near(v, F.col("u")) & ((F.col("sig") < _WILD) | ((hi != 0) & (lo != 0)))
+
+    listed = lists.select("sig", "fps", F.explode("fps").alias("u"))
+    links = links.unionAll(listed.select("u", F.explode(F.filter("fps", linked)).alias("v")))
+    if buckets.where(F.col("n") > LISTED).limit(1).count():
+        large = several.where(F.col("n") > LISTED)
+        links = links.unionAll(_by_segment(large.where(F.col("sig") < _WILD))).unionAll(_by_wildcard(large.where(F.col("sig") >= _WILD)))
+    return links.distinct()
+
+
+def _by_segment(large: DataFrame) -> DataFrame:
+    """Links of buckets (sig, fp) of a whole segment."""
     hi, lo = _segments(F.col("fp"))
-    other = F.when(tag == 0, lo).otherwise(hi)
-    around = F.array(other, *[other.bitwiseXOR(F.lit(1 << i)) for i in range(32)])
-    without = F.array(*[lo.bitwiseAND(F.lit(_LOW & ~(1 << i))) + F.lit(i << 32) for i in range(32)])
-    dealt = many.select("sig", "fp", F.explode(F.when(tag < 2, around).otherwise(without)).alias("sub"))
+    other = F.when(F.col("sig") < 1 << 32, lo).otherwise(hi)
+    dealt = large.select("sig", "fp", F.explode(F.array(other, *[other.bitwiseXOR(F.lit(1 << i)) for i in range(32)])).alias("sub"))
     # At most 33 fingerprints to a group.
     groups = dealt.groupBy("sig", "sub").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
-    starred = groups.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u <> v").where(near("u", "v"))
-    return pairs.unionAll(starred).distinct()
+    starred = groups.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u <> v")
+    return starred.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
+
+
+def _by_wildcard(large: DataFrame) -> DataFrame:
+    """Links of buckets (sig, fp, n) of a wildcard whose fingerprints differ by one bit in both segments."""
+    _, lo = _segments(F.col("fp"))
+    # Tag 2 leaves out the lowest bit of the first segment.
+    large = large.select("sig", "fp", "n", lo.alias("lo"), F.expr("shiftrightunsigned(fp, cast(shiftrightunsigned(sig, 32) as int) + 30) & 1").alias("bit"))
+    rarer = large.groupBy("sig").agg(F.expr("if(2 * sum(bit) < max(n), 1, 0)").alias("rarer"))
+    large = large.join(rarer, "sig")
+    asked = F.array(*[F.col("lo").bitwiseXOR(F.lit(1 << i)) for i in range(32)])
+    asking = large.where("bit = rarer").select("sig", F.col("fp").alias("u"), F.explode(asked).alias("lo"))
+    return asking.join(large.where("bit <> rarer").select("sig", F.col("fp").alias("v"), "lo"), ["sig", "lo"]).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

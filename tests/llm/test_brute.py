@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import regex
 import xxhash
 from pyspark.sql import functions as F
@@ -77,6 +78,49 @@ def test_links_connect_what_is_near(spark):
     assert {f: find(f) for f in fps} == want
 
 
+def rows_of_generate(spark):
+    """The rows that all explodes of the session's queries so far have made, by their expression."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), Counter()
+    runs = store.executionsList()
+    for at in range(runs.size()):
+        made = store.executionMetrics(runs.apply(at).executionId())
+        nodes = store.planGraph(runs.apply(at).executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if node.name() == "Generate":
+                counts = (node.metrics().apply(k) for k in range(node.metrics().size()))
+                ids = [m.accumulatorId() for m in counts if m.name() == "number of output rows"]
+                out[node.desc()] += sum(int(made.apply(i).replace(",", "")) for i in ids if made.contains(i))
+    return out
+
+
+@pytest.mark.parametrize("listed", [64, 8, 2])
+def test_a_large_group_is_linked_in_few_rows(spark, monkeypatch, listed):
+    """Fingerprints of one first segment, as of many copies edited differently, fill the buckets of all wildcards."""
+    monkeypatch.setattr(simhash, "LISTED", listed, raising=False)
+    rng = random.Random(8)
+    base = rng.getrandbits(64)
+    fps = {base ^ sum(1 << k for k in rng.sample(range(24), 3)) for _ in range(400)}
+    fps |= {f ^ (1 << rng.randrange(32, 64)) ^ (1 << rng.randrange(30)) for f in rng.sample(sorted(fps), 60)}  # one bit in each segment
+    fps |= {f ^ (1 << 40) ^ (1 << 50) for f in rng.sample(sorted(fps), 20)}  # the second segment is equal
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    before = rows_of_generate(spark)
+    pairs = {(r.u & (2**64 - 1), r.v & (2**64 - 1)) for r in simhash.near_links(spark.createDataFrame(signed, "fp long")).collect()}
+    made = rows_of_generate(spark) - before
+    assert all((a ^ b).bit_count() <= 2 for a, b in pairs)
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {f: find(f) for f in fps} == components({f: f for f in fps})
+    # Signatures, 34 a fingerprint, are made twice.
+    assert 68 * len(fps) <= made.total() <= (68 + 80) * len(fps)
+
+
 def brute_repeats(docs):
     seen = Counter(d[p : p + 200] for d in docs for p in range(len(d) - 199))
     out = []
